@@ -2,8 +2,9 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import language_id, quality_knn
 from .jaccard_join import near_duplicates
 
 
@@ -15,8 +16,31 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % n
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learn = docs.where((remainder(3) != 1) & F.col("lang").isNotNull()).select("doc_id", F.col("lang").alias("label"))
+    model = language_id.fit(docs, learn)
+    out = language_id.predict(docs.select("doc_id", "text"), model, ["doc_id"])
+    return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_knn.Model:
+    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return quality_knn.fit(table(spark, sf_dir, "documents"), labels)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_knn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir), ["doc_id"])
+    return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_jaccard": op3_jaccard}
+    return {"op3_jaccard": op3_jaccard, "op4_language_id": op4_language_id, "op7_quality": op7_quality}
 
 
 def oracle_sql() -> dict[str, str]:
