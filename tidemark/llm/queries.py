@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import language_id, quality_knn
+from . import decontaminate, language_id, quality_knn
 from .jaccard_join import near_duplicates
 
 
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality_knn.Model:
     labels = table(spark, sf_dir, "labels").where(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
     return quality_knn.fit(table(spark, sf_dir, "documents"), labels)
@@ -40,7 +44,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_jaccard": op3_jaccard, "op4_language_id": op4_language_id, "op7_quality": op7_quality}
+    return {"op3_jaccard": op3_jaccard, "op4_language_id": op4_language_id, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality}
 
 
 def oracle_sql() -> dict[str, str]:
