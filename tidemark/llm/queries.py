@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language_id, quality_knn
+from . import decontaminate, language_id, packing, pii, quality_knn
 from .jaccard_join import near_duplicates
 
 
@@ -33,18 +33,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> quality_knn.Model:
-    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
-    return quality_knn.fit(table(spark, sf_dir, "documents"), labels)
+def labelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of labels from which quality may be learned: doc_id, label."""
+    return table(spark, sf_dir, "labels").where(remainder(5) != 0).select("doc_id", F.col("quality").alias("label"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_knn.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir), ["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    out = quality_knn.score(docs.select("doc_id", "text"), quality_knn.fit(docs, labelled_quality(spark, sf_dir)), ["doc_id"])
     return out.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.fit(pii.labelled_table(spark)), ["doc_id"])
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.items_of(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_jaccard": op3_jaccard, "op4_language_id": op4_language_id, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality}
+    return {"op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_language_id": op4_language_id, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
