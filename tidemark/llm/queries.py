@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, gif, language_id, packing, pii, quality_knn, url_filter
+from . import chat_format, decontaminate, gif, language_id, packing, pii, quality_knn, substring_dedup, url_filter
 from .jaccard_join import near_duplicates
 
 
@@ -29,6 +29,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
@@ -99,7 +103,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_gif": op1_gif, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_language_id": op4_language_id, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_pii": op9_pii, "op10_url_filter": op10_url_filter}
+    return {"op1_gif": op1_gif, "op2_packing": op2_packing, "op3_jaccard": op3_jaccard, "op4_language_id": op4_language_id, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_quality": op7_quality, "op8_chat": op8_chat, "op9_pii": op9_pii, "op10_url_filter": op10_url_filter}
 
 
 def oracle_sql() -> dict[str, str]:
