@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.window import WindowSpec
 
-SERIES = Window.partitionBy("symbol").orderBy("t_ms")
+def series() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("t_ms")
 
 
 def last(n: int, skip: int = 0) -> WindowSpec:
     """The last n rows, this one included unless skipped."""
-    return SERIES.rowsBetween(-(n - 1) - skip, -skip)
+    return series().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def full(n: int, value: Column, column: str = "c", skip: int = 0) -> Column:
@@ -26,12 +27,12 @@ def full(n: int, value: Column, column: str = "c", skip: int = 0) -> Column:
 
 
 def lag(column: str, n: int = 1) -> Column:
-    return F.lag(column, n).over(SERIES)
+    return F.lag(column, n).over(series())
 
 
 def indexed(bars: DataFrame) -> DataFrame:
     """With i, the number of the bar in its series, from 0."""
-    return bars.withColumn("i", F.row_number().over(SERIES) - 1)
+    return bars.withColumn("i", F.row_number().over(series()) - 1)
 
 
 def true_range(bars: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def wma_of(column: str, n: int) -> Column:
     """Weighted mean of the last n values, the newest with weight n."""
     total = None
     for k in range(n):
-        part = F.lag(column, k).over(SERIES) * (n - k)
+        part = F.lag(column, k).over(series()) * (n - k)
         total = part if total is None else total + part
     return total / (n * (n + 1) / 2)
 
@@ -138,7 +139,7 @@ def setup_counter(bars: DataFrame, back: int = 4) -> DataFrame:
     """Run length of closes above (+) or below (-) the close `back` bars before; equal resets to 0; wraps as a signed byte."""
     sign = F.coalesce(F.signum(F.col("c") - lag("c", back)).cast("int"), F.lit(0))
     out = bars.withColumn("_s", sign)
-    out = out.withColumn("_new", (F.col("_s") != F.coalesce(lag("_s"), F.lit(0))).cast("int")).withColumn("_run", F.sum("_new").over(SERIES))
+    out = out.withColumn("_new", (F.col("_s") != F.coalesce(lag("_s"), F.lit(0))).cast("int")).withColumn("_run", F.sum("_new").over(series()))
     run = F.row_number().over(Window.partitionBy("symbol", "_run").orderBy("t_ms")) * F.col("_s")
     return out.withColumn("counter", F.pmod(run + 128, F.lit(256)).cast("int") - 128).drop("_s", "_new", "_run")
 
