@@ -162,7 +162,7 @@ def value_area(profile: DataFrame, size: float, key: list[str], share: float = 0
             else:
                 a, held = a - 1, held + below
         row = {k: table.column(k)[:1] for k in key}
-        return pa.table({**row, "poc": [(bins[poc] + 0.5) * size], "area_low": [bins[a] * size], "area_high": [(bins[b] + 1) * size]})
+        return pa.table({**row, "poc": [(bins[poc] + 0.5) * size], "area_low": [float(bins[a] * size)], "area_high": [float((bins[b] + 1) * size)]})
 
     kinds = ", ".join(f"{k} {profile.schema[k].dataType.simpleString()}" for k in key)
     return profile.groupBy(*key).applyInArrow(run, f"{kinds}, poc double, area_low double, area_high double")

@@ -21,8 +21,9 @@ def bars_from_ticks(ticks: DataFrame, symbol: str, t_ms: Column, price: str, ord
 
     One aggregation with partial sums before its only shuffle; buckets without a tick have no bar.
     """
-    rows = ticks.select(F.col(symbol).alias("symbol"), t_ms.alias("at"), F.col(price).alias("p"), *order, (volume if volume is not None else F.lit(1)).alias("q"))
-    when = F.struct("at", *order)
+    keys = [f"_{k}" for k in range(len(order))]
+    rows = ticks.select(F.col(symbol).alias("symbol"), t_ms.alias("at"), F.col(price).alias("p"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)], (volume if volume is not None else F.lit(1)).alias("q"))
+    when = F.struct("at", *keys)
     return rows.groupBy("symbol", (F.floor(F.col("at") / width_ms) * width_ms).cast("long").alias("t_ms")).agg(
         F.min_by("p", when).alias("o"), F.max("p").alias("h"), F.min("p").alias("l"), F.max_by("p", when).alias("c"), F.sum("q").cast("double").alias("v")
     )
@@ -45,7 +46,7 @@ def event_bars(spark: SparkSession, sf_dir: str, width_ms: int = 4 * HOUR) -> Da
 def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars of extended price by return flag and line status, with quantity as volume."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("symbol", F.concat("l_returnflag", "l_linestatus"))
-    return bars_from_ticks(items, "symbol", epoch_ms("l_shipdate"), "l_extendedprice", ["l_orderkey", "l_linenumber"], DAY, F.col("l_quantity"))
+    return bars_from_ticks(items, "symbol", epoch_ms("l_shipdate"), "l_extendedprice", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], DAY, F.col("l_quantity"))
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
