@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_format, decontaminate, gif, language_id, packing, pii, quality_knn, substring_dedup, url_filter
+from . import chat_format, decontaminate, gif, language_id, oracles, packing, pii, quality_knn, substring_dedup, url_filter
 from .jaccard_join import near_duplicates
 
 
@@ -107,4 +107,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql(RULES)
