@@ -116,7 +116,7 @@ def read_binary_bars(spark: SparkSession, root: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").option("recursiveFileLookup", "true").load(root)
     part = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)\.bin$", k)
-    return files.select(part(1), part(2), "content").mapInArrow(run, SCHEMA)
+    return files.select(part(1).alias("symbol"), part(2).alias("tf"), "content").mapInArrow(run, SCHEMA)
 
 
 class BarFiles(DataSource):
