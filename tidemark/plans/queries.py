@@ -358,7 +358,7 @@ def seasonality_hour_lookback(spark, sf_dir):
     return rounded(shapes.seasonality(events(spark, sf_dir), F.floor(clock.hour_utc(F.col("t_ms"))), days=14), *_SEASON)
 
 
-@query(f"with b as ({BARS}), {ATR}, l as (select *, t_ms // {DAY} as day, c - o as bd from a where t_ms % {DAY} >= {7 * HOUR} and t_ms % {DAY} < {16 * HOUR}), x as (select *, (c - first(o) over {W.replace(f't_ms // {DAY}', 'day')}) / atr as dp, case when sum(abs(bd)) over {W.replace(f't_ms // {DAY}', 'day')} > 0 then sum(bd) over {W.replace(f't_ms // {DAY}', 'day')} / sum(abs(bd)) over {W.replace(f't_ms // {DAY}', 'day')} else 0.0 end as bn from l where atr > 0) select symbol, t_ms, round(dp, 6) + 0.0 as displacement, round(bn, 6) + 0.0 as body_net, case when dp >= 0.25 and bn >= 0.2 then 'up' when dp <= -0.25 and bn <= -0.2 then 'down' when abs(dp) < 0.15 and abs(bn) < 0.15 then 'pause' else 'mixed' end as bias from x")
+@query(f"with b as ({BARS}), {ATR}, l as (select *, t_ms // {DAY} as day, c - o as bd from a where t_ms % {DAY} >= {7 * HOUR} and t_ms % {DAY} < {16 * HOUR}), x as (select *, case when atr > 0 then (c - first(o) over {W.replace(f't_ms // {DAY}', 'day')}) / atr end as dp, case when sum(abs(bd)) over {W.replace(f't_ms // {DAY}', 'day')} > 0 then sum(bd) over {W.replace(f't_ms // {DAY}', 'day')} / sum(abs(bd)) over {W.replace(f't_ms // {DAY}', 'day')} else 0.0 end as bn from l) select symbol, t_ms, round(dp, 6) + 0.0 as displacement, round(bn, 6) + 0.0 as body_net, case when dp >= 0.25 and bn >= 0.2 then 'up' when dp <= -0.25 and bn <= -0.2 then 'down' when abs(dp) < 0.15 and abs(bn) < 0.15 then 'pause' else 'mixed' end as bias from x")
 def session_bias(spark, sf_dir):
     return rounded(shapes.session_bias(ind.atr(events(spark, sf_dir))), "symbol", "t_ms", "displacement", "body_net", "bias")
 
