@@ -7,11 +7,12 @@ Each symbol keeps its extent: the words on which its name and its ends depend. A
 can repeat only where that symbol does.
 
 1. Each window picks, of the symbols of the last round whose extents it holds, the one with the least name; so equal
-   windows pick equal symbols. The picked symbols are counted over the whole corpus.
-2. A window whose symbol occurs once cannot repeat. Windows with a shared symbol, and those inside long runs of one
-   word, which hold no extent, are candidates. Only their documents go on.
-3. Candidate windows are counted themselves, by a 64-bit hash of their words, in fragments of bounded size; of windows
-   that repeat within a task one is sent on. Those that turn out single are cleared.
+   windows pick equal symbols. The picked symbols are counted over the whole corpus, summed in tasks first.
+2. A window whose symbol occurs once cannot repeat. The shared symbols go into a bitmap of bounded size, which every
+   task gets; what it lets through by chance costs time only. Windows inside long runs of one word, which hold no
+   extent, are always let through.
+3. The windows let through meet by their symbols, in fragments of bounded size, and are counted by 64-bit hashes of
+   their words; of windows that repeat within a task one is sent on. The single ones go back to their documents.
 
 Defined results: null and blank texts have no words; windows never span documents; a text of fewer words than a window
 keeps all; repeated rows are occurrences of their own, so long ones lose all; other columns are not read.
@@ -27,12 +28,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import _deal, _spark, _text
 
 WINDOW, ROUNDS = 35, 4
-#: Candidate windows in a fragment at about, and in a task before it sends them on.
-FRAGMENT, HELD = 500_000, 4_000_000
-#: A list of marks of more bytes than this is joined by a shuffle, not a broadcast.
+#: Symbols' occurrences in a fragment at about, and windows in a task before it sends them on.
+FRAGMENT, HELD = 50_000, 4_000_000
+#: Bits of the bitmap at most (16 MB), and for each shared symbol where that suffices.
+MOST_BITS, BITS_EACH = 1 << 27, 16
+#: A list of single windows of more bytes than this is joined by a shuffle, not a broadcast.
 BROADCAST_BYTES = 64 << 20
-#: Bits of a word's number, and of a row's number in its task, in a 64-bit place.
-POS, ROW = 26, 21
 U = np.uint64
 
 
@@ -95,167 +96,177 @@ def picked(h: np.ndarray, doc: np.ndarray, window: int, rounds: int) -> tuple[np
         width *= 2
 
 
-def _occurrences(window: int, rounds: int):
-    def run(batches):
-        for batch in batches:
-            for part in _text.slices(batch):
-                words = _text.Words(*_text.buffer(part.column("text")))
-                name, first, pick = picked(words.hashes(_text.AS_IS), words.doc, window, rounds)
-                doc = words.doc[first]
-                bare = np.unique(doc[pick < 0])
-                # A symbol's number in its text is not needed: its place among the text's picked symbols is.
-                on = pick >= 0
-                at, of = np.unique(pick[on], return_index=True)
-                owner = doc[on][of]
-                number = np.arange(len(at)) - np.searchsorted(owner, owner)
-                rid = np.asarray(part.column("rid"))
-                sym = pa.array(np.concatenate([_text.signed(name[at]), np.zeros(len(bare), np.int64)]), mask=np.arange(len(at) + len(bare)) >= len(at))
-                yield pa.RecordBatch.from_arrays([sym, pa.array(np.concatenate([rid[owner], rid[bare]])), pa.array(np.concatenate([number, np.full(len(bare), -1)]).astype(np.int32))], names=["sym", "rid", "number"])
-
-    return run
-
-
-def _kept(words: _text.Words, keep: np.ndarray | None) -> list[str]:
-    return [hashlib.sha256(x).hexdigest() for x in _text.joined(words, keep)]
-
-
-def _clean(batches):
-    for batch in batches:
-        for part in _text.slices(batch):
-            words = _text.Words(*_text.buffer(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.count), pa.array(np.zeros(part.num_rows, np.int64)), pa.array(_kept(words, None), pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
+class Picks:
+    """The occurrences of picked symbols in the texts of a slice, by text and place, and the windows that picked them.
 
-def _candidates(window: int, rounds: int):
-    """Rows with uid (the task's number and the row's in it) and marks: a bit for each word, set where a candidate begins."""
+    A window that picks none is an occurrence of its own; its number in its text is below 0 and tells its first word.
+    """
 
+    def __init__(self, texts: pa.Array, window: int, rounds: int):
+        self.words = words = _text.Words(*_text.buffer(texts))
+        h = words.hashes(_text.AS_IS)
+        name, self.first, pick = picked(h, words.doc, window, rounds)
+        self.hash = _text.windows(h, window)[self.first]
+        new = np.ones(len(pick), bool)
+        new[1:] = (pick[1:] != pick[:-1]) | (pick[1:] < 0)
+        begin = np.flatnonzero(new)
+        self.of = np.cumsum(new) - 1  # the occurrence of each window
+        self.bit = np.arange(len(pick)) - begin[self.of]
+        self.bare = pick[begin] < 0
+        self.doc = words.doc[self.first[begin]]
+        self.symbol = np.where(self.bare, self.hash[begin], name[pick[begin]])
+        number = np.arange(len(begin)) - np.searchsorted(self.doc, self.doc)
+        self.number = np.where(self.bare, words.first[self.doc] - self.first[begin] - 1, number).astype(np.int32)
+
+    def passed(self, bitmap: np.ndarray, bits: int) -> np.ndarray:
+        """Whether each occurrence is let through."""
+        at = (self.symbol >> U(64 - bits)).astype(np.int64)
+        return self.bare | (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _counts(window: int, rounds: int):
     def run(batches):
-        from pyspark import TaskContext
-
-        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in _text.slices(batch):
-                words = _text.Words(*_text.buffer(part.column("text")))
-                _, first, pick = picked(words.hashes(_text.AS_IS), words.doc, window, rounds)
-                doc = words.doc[first]
-                shared = [np.frombuffer(x.as_buffer(), ">i4") for x in part.column("numbers")]
-                owner = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
-                number = np.concatenate(shared) if shared else np.zeros(0, np.int64)
-                at = np.unique(pick[pick >= 0])
-                text_of = np.zeros(len(at), np.int64)
-                text_of[np.searchsorted(at, pick[pick >= 0])] = doc[pick >= 0]
-                begins = np.searchsorted(text_of, np.arange(part.num_rows))
-                again = np.zeros(len(at), bool)
-                again[begins[owner[number >= 0]] + number[number >= 0]] = True
-                candidate = pick < 0
-                candidate[pick >= 0] = again[np.searchsorted(at, pick[pick >= 0])]
-                marks = np.zeros(len(words), bool)
-                marks[first[candidate]] = True
-                uid = [(task << ROW) + row + i for i in range(part.num_rows)]
-                row += part.num_rows
-                if row >> ROW or task >> (63 - POS - ROW) or words.count.max(initial=0) >> POS:
-                    raise ValueError("a task has too many rows, or a text too many words")
-                packed = [np.packbits(marks[a:b]).tobytes() for a, b in zip(words.first, words.first[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(uid, pa.int64()), part.column("text"), pa.array(packed, pa.binary())], names=["doc_id", "uid", "text", "marks"])
+                p = Picks(part.column("text"), window, rounds)
+                sym, n = np.unique(p.symbol[~p.bare], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_text.signed(sym)), pa.array(n), pa.array(np.zeros(len(n), np.int64))], names=["sym", "n", "bare"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0]), pa.array([int(p.bare.sum())])], names=["sym", "n", "bare"])
 
     return run
 
 
-def _marked(part: pa.RecordBatch) -> tuple[_text.Words, np.ndarray]:
-    """The words, and whether a candidate begins at each."""
-    words = _text.Words(*_text.buffer(part.column("text")))
-    bits = [np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=int(n)) for x, n in zip(part.column("marks"), words.count, strict=True)]
-    return words, np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+def _segment(bits: int):
+    """A 256th of the bitmap."""
 
+    def run(key, table):
+        at = table.column("bit").to_numpy() - (key[0].as_py() << (bits - 8))
+        held = np.zeros(1 << (bits - 8), np.uint8)
+        held[at] = 1
+        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
 
-def _windows(window: int, buckets: int):
-    """Hash and place of the candidate windows; of those that repeat within the task one, without a place."""
+    return run
 
-    def send(hashes: list, places: list) -> pa.RecordBatch:
-        h, at = np.concatenate(hashes), np.concatenate(places)
-        value, of, count = np.unique(h, return_index=True, return_counts=True)
-        at = np.where(count == 1, at[of], U(0xFFFFFFFFFFFFFFFF))
-        back = np.argsort(of)  # as they came: neighbours share most of their places' bits
-        value, at = value[back], at[back]
-        return _deal.deal(((value >> U(32)) * U(buckets) >> U(32)).astype(np.int32), window=value, place=at)
+
+def _windows(window: int, rounds: int, shared, buckets: int):
+    """Windows that are let through, by occurrence; of those that repeat within the task only the hash, once."""
+
+    def bucket(x: np.ndarray) -> np.ndarray:
+        return ((_text.mix(x) >> U(32)) * U(buckets) >> U(32)).astype(np.int32)
+
+    def send(parts: list):
+        sizes = np.cumsum([0, *(len(p[0]) for p in parts)])
+        symbol, rid, number = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        value, bit = (np.concatenate([p[k] for p in parts]) for k in (3, 5))
+        of = np.concatenate([p[4] + a for p, a in zip(parts, sizes, strict=False)])
+        kinds, at, inverse, count = np.unique(value, return_index=True, return_inverse=True, return_counts=True)
+        once = count[inverse] == 1
+        of, bit, value = of[once], bit[once], value[once]
+        own, place = np.unique(of, return_inverse=True)
+        mask = np.zeros(len(own), U)
+        np.bitwise_or.at(mask, place, U(1) << bit.astype(U))
+        deal = bucket(symbol[own])
+        sent = _deal.deal(deal, rid=rid[own], number=number[own], mask=mask)
+        flat = _deal.deal(deal[place], window=value)
+        empty = pa.nulls(sent.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([*sent.columns, flat.column("window"), empty], names=names)
+        all_of = np.concatenate([p[4] + a for p, a in zip(parts, sizes, strict=False)])
+        again = _deal.deal(bucket(symbol[all_of[at[count > 1]]]), again=kinds[count > 1])
+        empty = pa.nulls(again.num_rows, pa.binary())
+        yield pa.RecordBatch.from_arrays([again.column("bucket"), empty, empty, empty, empty, again.column("again")], names=names)
+
+    names = ["bucket", "rid", "number", "mask", "window", "again"]
 
     def run(batches):
-        hashes, places, n = [], [], 0
+        parts, n = [], 0
         for batch in batches:
             for part in _text.slices(batch):
-                words, begins = _marked(part)
-                i = np.flatnonzero(begins)
-                if not len(i):
+                p = Picks(part.column("text"), window, rounds)
+                on = p.passed(*shared.value)
+                where = np.cumsum(on) - 1
+                w = on[p.of]
+                if not w.any():
                     continue
-                hashes.append(_text.windows(words.hashes(_text.AS_IS), window)[i])
-                uid = np.asarray(part.column("uid")).astype(U)
-                places.append((uid[words.doc[i]] << U(POS)) + (i - words.first[words.doc[i]]).astype(U))
-                n += len(i)
+                rid = np.asarray(part.column("rid"))[p.doc[on]]
+                parts.append((p.symbol[on], rid, p.number[on], p.hash[w], where[p.of[w]], p.bit[w]))
+                n += int(w.sum())
                 if n > HELD:
-                    yield send(hashes, places)
-                    hashes, places, n = [], [], 0
+                    yield from send(parts)
+                    parts, n = [], 0
         if n:
-            yield send(hashes, places)
+            yield from send(parts)
 
     return run
 
 
 def _single(table: pa.Table) -> pa.Table:
-    window, place = _deal.gathered(table, window=U, place=U)
-    _, of, count = np.unique(window, return_index=True, return_counts=True)
-    place = place[of[count == 1]]
-    place = place[place != U(0xFFFFFFFFFFFFFFFF)]
-    return pa.table({"uid": (place >> U(POS)).astype(np.int64), "pos": (place & U((1 << POS) - 1)).astype(np.int32)})
-
-
-def _removed(window: int):
+    """Of each occurrence, the windows that occur once."""
+    rid, number, mask, window, again = _deal.gathered(table, rid=np.int64, number=np.int32, mask=U, window=U, again=U)
+    _, inverse, count = np.unique(np.concatenate([window, again, again]), return_inverse=True, return_counts=True)
+    once = count[inverse[: len(window)]] == 1
+    bits = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    bits[bits] = once
+    left = np.packbits(bits, axis=1, bitorder="little").reshape(-1).view(U) if len(mask) else mask
+    on = left > 0
+    entry = np.zeros(int(on.sum()), [("number", "<i4"), ("mask", "<u8")])
+    entry["number"], entry["mask"] = number[on], left[on]
+    at = pa.py_buffer((np.arange(len(entry) + 1) * 12).astype(np.int32))
+    return pa.table({"rid": rid[on], "entry": pa.Array.from_buffers(pa.binary(), len(entry), [None, at, pa.py_buffer(entry.tobytes())])})
+
+
+def _kept(window: int, rounds: int, shared):
     def run(batches):
         for batch in batches:
             for part in _text.slices(batch):
-                words, begins = _marked(part)
+                p = Picks(part.column("text"), window, rounds)
+                words, on = p.words, p.passed(*shared.value)
+                begins = on[p.of]
+                edge = np.searchsorted(p.doc, np.arange(part.num_rows + 1))
+                start = np.searchsorted(p.of, np.arange(len(on) + 1))
                 for i, x in enumerate(part.column("single")):
-                    if x.is_valid:
-                        begins[words.first[i] + np.frombuffer(x.as_buffer(), ">i4")] = False
+                    if not x.is_valid:
+                        continue
+                    entry = np.frombuffer(x.as_buffer(), [("number", "<i4"), ("mask", "<u8")])
+                    own = p.number[edge[i] : edge[i + 1]]
+                    order = np.argsort(own, kind="stable")
+                    at = edge[i] + order[np.searchsorted(own, entry["number"], sorter=order)]
+                    rows, bit = np.nonzero(np.unpackbits(entry["mask"].copy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                    begins[start[at[rows]] + bit] = False
                 depth = np.zeros(len(words) + window + 1, np.int64)
-                at = np.flatnonzero(begins)
+                at = p.first[begins]
                 depth[at] += 1
                 np.subtract.at(depth, at + window, 1)
                 gone = np.cumsum(depth)[: len(words)] > 0
                 lost = np.bincount(words.doc[gone], minlength=part.num_rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.count), pa.array(lost), pa.array(_kept(words, ~gone), pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                digests = [hashlib.sha256(x).hexdigest() for x in _text.joined(words, ~gone)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.count), pa.array(lost), pa.array(digests, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
 
 
-def _bytes(numbers: str):
-    """A list of ints as big-endian bytes."""
-    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
-
-
-def _listed(marks: DataFrame, column: str) -> DataFrame:
-    """marks with a broadcast hint if they are small enough."""
-    rows, size = marks.agg(F.count("*"), F.coalesce(F.sum(F.length(column)), F.lit(0))).first()
-    return F.broadcast(marks) if rows <= _spark.BROADCAST_IDS and size <= BROADCAST_BYTES else marks
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed (words in windows that occur elsewhere too), kept_sha256 (of the others, joined by one space)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    counts = docs.select("text").mapInArrow(_counts(window, rounds), "sym long, n long, bare long").groupBy("sym").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"))
+    counts = _spark.cut(counts.where("sym is null or n > 1"), "shared")
+    kinds, occurrences, bare = counts.agg(F.count("sym"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bare"), F.lit(0))).first()
+
+    bits = max(16, min(MOST_BITS, kinds * BITS_EACH).bit_length() - 1)
+    marks = counts.where("sym is not null").select(F.shiftrightunsigned("sym", 64 - bits).alias("bit")).distinct()
+    segments = marks.groupBy(F.shiftright("bit", bits - 8).cast("int").alias("segment")).applyInArrow(_segment(bits), "segment int, held binary")
+    bitmap = np.zeros(1 << (bits - 3), np.uint8)
+    for segment, held in segments.collect():  # 256 rows, MOST_BITS in all at the most
+        bitmap[segment << (bits - 11) : (segment + 1) << (bits - 11)] = np.frombuffer(held, np.uint8)
+    shared = spark.sparkContext.broadcast((bitmap, bits))
+
+    buckets = max(_spark.partitions(spark), math.ceil((occurrences + bare) / FRAGMENT))
+    sent = docs.select("rid", "text").mapInArrow(_windows(window, rounds, shared, buckets), _deal.schema("rid", "number", "mask", "window", "again"))
+    single = sent.groupBy("bucket").applyInArrow(_single, "rid long, entry binary")
+    packed = F.unhex(F.array_join(F.transform(F.collect_list("entry"), F.hex), ""))
+    single = _spark.cut(single.groupBy("rid").agg(packed.alias("single")), "single")
+    rows, size = single.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("single")), F.lit(0))).first()
+    single = F.broadcast(single) if rows <= _spark.BROADCAST_IDS and size <= BROADCAST_BYTES else single
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string"
-
-    found = _spark.cut(docs.select("rid", "text").mapInArrow(_occurrences(window, rounds), "sym long, rid long, number int"), "symbols")
-    shared = found.groupBy("sym").count().where("count > 1 and sym is not null").select("sym")
-    marks = found.join(shared, "sym", "left_semi").select("rid", "number").union(found.where("sym is null").select("rid", "number"))
-    marks = _spark.cut(marks.groupBy("rid").agg(F.collect_set("number").alias("n")).select("rid", _bytes("n").alias("numbers")), "marks")
-    clean = docs.join(_spark.small(marks.select("rid")), "rid", "left_anti").select("doc_id", "text").mapInArrow(_clean, out)
-
-    suspects = docs.join(_listed(marks, "numbers"), "rid").select("doc_id", "text", "numbers")
-    suspects = _spark.cut(suspects.mapInArrow(_candidates(window, rounds), f"doc_id {kind}, uid long, text string, marks binary"), "suspects")
-    total = suspects.agg(F.coalesce(F.sum(F.length("marks")), F.lit(0))).first()[0] * 8
-    buckets = max(_spark.partitions(spark), math.ceil(total / FRAGMENT))
-    single = suspects.mapInArrow(_windows(window, buckets), _deal.schema("window", "place")).groupBy("bucket").applyInArrow(_single, "uid long, pos int")
-    single = _spark.cut(single.groupBy("uid").agg(F.collect_list("pos").alias("p")).select("uid", _bytes("p").alias("single")), "single")
-    rest = suspects.join(_listed(single, "single"), "uid", "left").select("doc_id", "text", "marks", "single").mapInArrow(_removed(window), out)
-    return clean.union(rest)
+    rest = docs.join(single, "rid", "left").select("doc_id", "text", "single")
+    return rest.mapInArrow(_kept(window, rounds, shared), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

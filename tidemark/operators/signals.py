@@ -200,3 +200,91 @@ def down_shock(bars: DataFrame, n: int = 20, z: float = 2.0) -> DataFrame:
     out = bars.withColumn("_r", F.log(F.col("c") / lag("c"))).withColumn("_a", F.abs("_r"))
     out = out.withColumn("_m", F.percentile("_a", 0.5).over(last(n, 1))).withColumn("_n", F.count("_a").over(last(n, 1)))
     return out.withColumn("side", F.when((F.col("_n") == n) & (F.col("_r") <= -z * 1.4826 * F.col("_m")), "long")).drop("_r", "_a", "_m", "_n")
+
+
+def clock_breakout(bars: DataFrame, ranges: DataFrame, end_hour: float) -> DataFrame:
+    """Needs day: the first bar after a day's clock range (levels.clock_ranges, accepted only) that passes its high or low; both: the nearer to its open."""
+    r = ranges.where("status = 'accepted'").select("symbol", "day", F.col("h").alias("range_high"), F.col("l").alias("range_low"))
+    out = bars.join(r, ["symbol", "day"])
+    up, down = F.col("h") > F.col("range_high"), F.col("l") < F.col("range_low")
+    near = F.when(F.col("range_high") - F.col("o") <= F.col("o") - F.col("range_low"), "long").otherwise("short")
+    later = clock.hour_utc(F.col("t_ms")) >= end_hour
+    out = out.withColumn("_x", F.when(later & up & down, near).when(later & up, "long").when(later & down, "short"))
+    seen = F.count("_x").over(Window.partitionBy("symbol", "day").orderBy("t_ms").rowsBetween(Window.unboundedPreceding, -1))
+    return out.withColumn("_seen", seen).withColumn("side", F.when(F.col("_seen") == 0, F.col("_x"))).drop("_x", "_seen")
+
+
+def named_sweep(bars: DataFrame, names: list[str], margin: float = 0.0) -> DataFrame:
+    """A wick through a named level and a close back: highs short, lows long; the first name in the given order wins. Adds level."""
+    hits = []
+    for n in names:
+        high = n.endswith("_h")
+        level = F.col(n)
+        hit = (F.col("h") > level + margin) & (F.col("c") < level) & (F.col("o") < level) if high else (F.col("l") < level - margin) & (F.col("c") > level) & (F.col("o") > level)
+        hits.append(F.when(hit, F.struct(F.lit(n).alias("level"), F.lit("short" if high else "long").alias("side"))))
+    return bars.withColumn("_s", F.coalesce(*hits)).withColumn("level", F.col("_s.level")).withColumn("side", F.col("_s.side")).drop("_s")
+
+
+def supply_demand(bars: DataFrame, base: int = 3, narrow: float = 1.0, leave: float = 1.5) -> DataFrame:
+    """Needs atr: a base of narrow bars and a departure of so many ATRs: zone_low and zone_high of the base; side of the zone."""
+    w = last(base, 1)
+    out = bars.withColumn("_hi", F.max("h").over(w)).withColumn("_lo", F.min("l").over(w)).withColumn("_wide", F.max(F.col("h") - F.col("l")).over(w)).withColumn("_n", F.count("c").over(w))
+    calm = (F.col("_n") == base) & (F.col("_wide") <= narrow * F.col("atr"))
+    out = out.withColumn("side", _side(calm & (F.col("c") - F.col("_hi") >= leave * F.col("atr")), calm & (F.col("_lo") - F.col("c") >= leave * F.col("atr"))))
+    on = F.col("side").isNotNull()
+    return out.withColumn("zone_low", F.when(on, F.col("_lo"))).withColumn("zone_high", F.when(on, F.col("_hi"))).drop("_hi", "_lo", "_wide", "_n")
+
+
+def triple_screen(bars: DataFrame, ema: str = "ema") -> DataFrame:
+    """Needs htf_trend, an EMA: with the higher trend and the EMA's slope, a bar that touches the EMA and closes beyond the bar before."""
+    out = bars.withColumn("_up", F.col(ema) > lag(ema)).withColumn("_ph", lag("h")).withColumn("_pl", lag("l"))
+    long = (F.col("htf_trend") > 0) & F.col("_up") & (F.col("l") <= F.col(ema)) & (F.col("c") > F.col("_ph"))
+    short = (F.col("htf_trend") < 0) & ~F.col("_up") & (F.col("h") >= F.col(ema)) & (F.col("c") < F.col("_pl"))
+    return out.withColumn("side", _side(long, short)).drop("_up", "_ph", "_pl")
+
+
+def dual_ema_resumption(bars: DataFrame, fast: str = "fast", slow: str = "slow") -> DataFrame:
+    """Fast above slow and rising: a close under the fast EMA, then one above it."""
+    out = bars.withColumn("_under", F.col("c") < F.col(fast)).withColumn("_was", lag("_under")).withColumn("_rise", F.col(fast) > lag(fast))
+    return out.withColumn("side", F.when((F.col(fast) > F.col(slow)) & F.col("_rise") & F.col("_was") & (F.col("c") > F.col(fast)), "long")).drop("_under", "_was", "_rise")
+
+
+def ema_ribbon(bars: DataFrame, names: list[str]) -> DataFrame:
+    """EMAs from fast to slow: side where they come into order (all falling apart upwards, or downwards)."""
+    up = reduce(lambda a, b: a & b, [F.col(a) > F.col(b) for a, b in zip(names, names[1:], strict=False)])
+    down = reduce(lambda a, b: a & b, [F.col(a) < F.col(b) for a, b in zip(names, names[1:], strict=False)])
+    out = bars.withColumn("ribbon", F.when(up, 1).when(down, -1).otherwise(0)).withColumn("_p", lag("ribbon"))
+    return out.withColumn("side", _side((F.col("ribbon") == 1) & (F.col("_p") != 1), (F.col("ribbon") == -1) & (F.col("_p") != -1))).drop("_p")
+
+
+def range_fake(bars: DataFrame) -> DataFrame:
+    """Needs zone_high, zone_low of the bar before: a wick out of the zone and a close back in; target its middle."""
+    out = bars.withColumn("_zh", lag("zone_high")).withColumn("_zl", lag("zone_low"))
+    out = out.withColumn("side", _side((F.col("l") < F.col("_zl")) & (F.col("c") > F.col("_zl")), (F.col("h") > F.col("_zh")) & (F.col("c") < F.col("_zh"))))
+    return out.withColumn("target", F.when(F.col("side").isNotNull(), (F.col("_zh") + F.col("_zl")) / 2)).drop("_zh", "_zl")
+
+
+def triple_push(bars: DataFrame) -> DataFrame:
+    """Needs swings: three rising highs (falling lows), the second step smaller than the first, confirmed on this bar: fade it."""
+    w = series().rowsBetween(-120, 0)
+    out = bars.withColumn("_hs", F.slice(F.reverse(F.collect_list("swing_high").over(w)), 1, 3)).withColumn("_ls", F.slice(F.reverse(F.collect_list("swing_low").over(w)), 1, 3))
+    at = lambda c, k: F.try_element_at(c, F.lit(k))
+    steps = lambda c, way: (way * (at(c, 2) - at(c, 3)) > 0) & (way * (at(c, 1) - at(c, 2)) > 0) & (way * (at(c, 1) - at(c, 2)) < way * (at(c, 2) - at(c, 3)))
+    short = F.col("swing_high").isNotNull() & steps("_hs", 1)
+    long = F.col("swing_low").isNotNull() & steps("_ls", -1)
+    return out.withColumn("side", F.when(F.coalesce(short, F.lit(False)), "short").when(F.coalesce(long, F.lit(False)), "long")).drop("_hs", "_ls")
+
+
+def regime_cross(bars: DataFrame) -> DataFrame:
+    """Needs hma, st_trend, vol_ratio: the close crosses the HMA with the Supertrend on more than usual volume."""
+    out = bars.withColumn("_d", F.col("c") - F.col("hma")).withColumn("_p", lag("_d"))
+    loud = F.col("vol_ratio") > 1
+    return out.withColumn("side", _side(loud & (F.col("_d") > 0) & (F.col("_p") <= 0) & (F.col("st_trend") > 0), loud & (F.col("_d") < 0) & (F.col("_p") >= 0) & (F.col("st_trend") < 0))).drop("_d", "_p")
+
+
+def streak_canary(bars: DataFrame, n: int = 2) -> DataFrame:
+    """n bars in a row that close the same way: follow them, once a streak."""
+    up = F.sum(F.when(F.col("c") > F.col("o"), 1).otherwise(0)).over(last(n))
+    down = F.sum(F.when(F.col("c") < F.col("o"), 1).otherwise(0)).over(last(n))
+    out = bars.withColumn("_u", up).withColumn("_d", down).withColumn("_pu", lag("_u")).withColumn("_pd", lag("_d"))
+    return out.withColumn("side", _side((F.col("_u") == n) & (F.col("_pu") != n), (F.col("_d") == n) & (F.col("_pd") != n))).drop("_u", "_d", "_pu", "_pd")

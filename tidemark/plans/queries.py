@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import clock, indicators as ind
-from ..operators import asof, levels, shapes, signals, trades
+from ..operators import asof, calendars, levels, shapes, signals, trades
 from ..sources import bars as src
-from . import report
+from . import account, report
 
 HOUR, DAY = src.HOUR, src.DAY
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -589,3 +589,99 @@ def gate_funnel(spark, sf_dir):
     s = signals.donchian_breakout(ind.donchian(ind.atr(events(spark, sf_dir))))
     names = ["signal", "weekday", "volatile"]
     return signals.funnel(signals.gated(s, signal=F.col("side").isNotNull(), weekday=clock.weekday_utc(F.col("t_ms")) < 5, volatile=F.col("atr") > 0), names)
+
+
+@query(f"with b as ({H1}), x as (select symbol, t_ms - lag(t_ms) over {ALL} as gap, row_number() over {ALL} as k from b), n as (select symbol, gap, count(*) as n from x where k <= 200 and gap > 0 and gap <= {4 * HOUR} group by 1, 2) select symbol, arg_max(gap, (n, -gap)) as step_ms, max(n) as n from n group by 1")
+def timeframe_inference(spark, sf_dir):
+    return calendars.timeframe(src.event_bars(spark, sf_dir, HOUR))
+
+
+@query(f"with b as ({H1}), x as (select symbol, lag(t_ms) over {ALL} + {HOUR} as from_ms, t_ms as to_ms from b), h as (select * from x where to_ms > from_ms) select symbol, from_ms, to_ms, to_ms - from_ms >= {7 * DAY} or cast(floor(((to_ms - 1) // {DAY} - 2) / 7.0) as bigint) > cast(floor((from_ms // {DAY} - 3) / 7.0) as bigint) as weekend, (from_ms // {HOUR}) % 2 = 0 as declared from h")
+def closure_gaps(spark, sf_dir):
+    """Closures declared for every hole that begins at an even hour."""
+    b = src.event_bars(spark, sf_dir, HOUR)
+    known = calendars.holes(b, HOUR).where(F.floor(F.col("from_ms") / HOUR) % 2 == 0)
+    return calendars.holes(b, HOUR, known)
+
+
+@query("with d as (select cast(unnest(generate_series(date '2024-01-01', date '2024-12-31', interval 1 day)) as date) as nominal), n as (select nominal from d where day(nominal) in (5, 10, 15, 20, 25) or nominal = last_day(nominal)), b as (select nominal, cast(nominal - cast(unnest(range(0, 15)) as integer) as date) as d from n) select cast(nominal as varchar) as nominal, cast(max(d) as varchar) as settles from b where isodow(d) < 6 and cast(d as varchar) not in ('2024-05-03', '2024-12-31') group by 1")
+def settlement_days(spark, sf_dir):
+    out = calendars.settlement_days(spark, "2024-01-01", "2024-12-31", ["2024-05-03", "2024-12-31"])
+    return out.select(F.col("nominal").cast("string").alias("nominal"), F.col("settles").cast("string").alias("settles"))
+
+
+@query(f"with {PNL} select label, strftime(make_timestamp(entry_t * 1000), '%Y-%m') as month, count(*) as trades, cast(sum(case when pnl > 0 then 1 else 0 end) as bigint) as wins, round(sum(pnl), 6) as net from pn group by 1, 2")
+def monthly_summary(spark, sf_dir):
+    return rounded(account.monthly(priced(spark, sf_dir), ["label"]), "label", "month", "trades", "wins", "net")
+
+
+DAILY = f"dn as (select label, exit_t // {DAY} as day, sum(pnl) as net from pn group by 1, 2), de as (select *, 10000.0 + sum(net) over (partition by label order by day) as equity from dn), dd as (select *, greatest(10000.0, max(equity) over (partition by label order by day)) as pk from de)"
+
+
+@query(f"with {PNL}, {DAILY} select label, day, round(net, 6) as net, round(equity, 6) as equity, round(net / (equity - net), 6) + 0.0 as growth, round((pk - equity) / pk, 6) + 0.0 as drawdown from dd")
+def daily_equity(spark, sf_dir):
+    return rounded(account.daily(priced(spark, sf_dir), ["label"]), "label", "day", "net", "equity", "growth", "drawdown")
+
+
+@query(f"with {PNL}, {DAILY}, n as (select row_number() over (order by day) - 1 as day_no, net / (equity - net) as growth from dd where label = 'realistic'), p as (select r.r as replicate, unnest(range((r.r * 7 + k.k * 3) % 5, (r.r * 7 + k.k * 3) % 5 + 4)) as day_no from range(10) r(r) cross join range(3) k(k)) select replicate, count(*) as days, round(exp(sum(ln(1 + growth))) - 1, 6) + 0.0 as total from p join n using (day_no) group by 1")
+def block_bootstrap(spark, sf_dir):
+    days = account.daily(priced(spark, sf_dir).where("label = 'realistic'"), ["label"])
+    days = days.withColumn("day_no", F.row_number().over(Window.partitionBy("label").orderBy("day")).cast("long") - 1).select("day_no", "growth")
+    starts = spark.range(30).select(F.floor(F.col("id") / 3).alias("replicate"), (F.col("id") % 3).alias("piece")).withColumn("start", (F.col("replicate") * 7 + F.col("piece") * 3) % 5)
+    return rounded(account.block_bootstrap(days, starts, 4), "replicate", "days", "total")
+
+
+@query(f"with {PNL}, q as (select * from pn where label = 'realistic'), x as (select m.symbol, m.i, m.t_ms, m.c, coalesce((select sum(pnl) from q where q.symbol = m.symbol and q.exit_i <= m.i), 0.0) as realized, coalesce((select max(m.c - q.entry) from q where q.symbol = m.symbol and q.entry_i <= m.i and m.i < q.exit_i), 0.0) as open_profit from m), y as (select *, 10000.0 + realized + open_profit as equity from x) select symbol, cast(i as bigint) as i, t_ms, round(realized, 6) + 0.0 as realized, round(open_profit, 6) + 0.0 as open_profit, round(equity, 6) as equity, round((greatest(10000.0, max(equity) over (partition by symbol order by i)) - equity) / greatest(10000.0, max(equity) over (partition by symbol order by i)), 6) + 0.0 as drawdown from y")
+def account_marks(spark, sf_dir):
+    b = ind.indexed(events(spark, sf_dir))
+    return rounded(account.marked(b, priced(spark, sf_dir).where("label = 'realistic'")), "symbol", "i", "t_ms", "realized", "open_profit", "equity", "drawdown")
+
+
+@query(f"with {PNL}, p as (select *, case when entry_t >= 1705276800000 then 'holdout' else 'train' end as part from pn where label = 'raw'), q as (select *, 10000.0 + sum(pnl) over (partition by part order by entry_t, symbol, entry_i rows between unbounded preceding and current row) as equity from p), x as (select *, greatest(10000.0, max(equity) over (partition by part order by entry_t, symbol, entry_i rows between unbounded preceding and current row)) as peak from q) select part, count(*) as trades, round(100.0 * sum(case when pnl > 0 then 1 else 0 end) / count(*), 6) as win_rate, round(sum(pnl), 6) as net, round(100 * max(peak - equity) / max(peak), 6) as drawdown from x group by 1")
+def holdout_split(spark, sf_dir):
+    return rounded(report.holdout(priced(spark, sf_dir).where("label = 'raw'"), 1705276800000), "part", "trades", "win_rate", "net", "drawdown")
+
+
+@query(f"with {PNL}, n as (select label, pnl, row_number() over (partition by label order by pnl) - 1 as r, count(*) over (partition by label) as n from pn) select label, round({_rank('ceil(0.9 * n) - 1')}, 6) as ceil_90, round({_rank('floor(0.9 * (n - 1))')}, 6) as floor_90 from n group by 1")
+def rank_variants(spark, sf_dir):
+    p = priced(spark, sf_dir)
+    up, down = (report.ranked(p, ["label"], "pnl", [0.9], how).select("label", F.col("q_90").alias(f"{how}_90")) for how in ("ceil", "floor"))
+    return rounded(up.join(down, "label"), "label", "ceil_90", "floor_90")
+
+
+@query(f"with b as ({H1}), {DAYS}, x as (select b.*, d.pd_h, d.pd_l from b join d on b.symbol = d.symbol and b.t_ms // {DAY} = d.day) select symbol, t_ms, case when h > pd_h and c < pd_h and o < pd_h then 'pd_h' else 'pd_l' end as level, case when h > pd_h and c < pd_h and o < pd_h then 'short' else 'long' end as side from x where (h > pd_h and c < pd_h and o < pd_h) or (l < pd_l and c > pd_l and o > pd_l)")
+def named_sweep_signals(spark, sf_dir):
+    s = signals.named_sweep(levels.day_context(src.event_bars(spark, sf_dir, HOUR)), ["pd_h", "pd_l"])
+    return s.where("side is not null").select("symbol", "t_ms", "level", "side")
+
+
+@query(f"with b as ({ORDERS}), {ATR}, x as (select *, max(h) over {frame(3, 1)} as hi, min(l) over {frame(3, 1)} as lo, max(h - l) over {frame(3, 1)} as wd, count(*) over {frame(3, 1)} as n from a), s as (select *, case when n = 3 and wd <= 1.0 * atr and c - hi >= 0.25 * atr then 'long' when n = 3 and wd <= 1.0 * atr and lo - c >= 0.25 * atr then 'short' end as side from x) select symbol, t_ms, side, round(lo, 6) as zone_low, round(hi, 6) as zone_high from s where side is not null")
+def supply_demand_zones(spark, sf_dir):
+    return rounded(signals.supply_demand(ind.atr(src.order_bars(spark, sf_dir)), 3, 1.0, 0.25).where("side is not null"), "symbol", "t_ms", "side", "zone_low", "zone_high")
+
+
+@query(f"with b as ({H1}), r0 as (select symbol, t_ms // {DAY} as day, max(h) as rh, min(l) as rl, count(*) as n from b where t_ms % {DAY} < {8 * HOUR} group by 1, 2), r as (select * from r0 where n >= 4.0 and rh > rl), x as (select b.*, r.day, rh, rl from b join r on b.symbol = r.symbol and b.t_ms // {DAY} = r.day), y as (select *, case when t_ms % {DAY} < {8 * HOUR} then null when h > rh and l < rl then case when rh - o <= o - rl then 'long' else 'short' end when h > rh then 'long' when l < rl then 'short' end as side from x), z as (select *, count(side) over (partition by symbol, day order by t_ms rows between unbounded preceding and 1 preceding) as seen from y) select symbol, t_ms, side, round(rh, 6) as range_high, round(rl, 6) as range_low from z where side is not null and seen = 0")
+def clock_breakout_signals(spark, sf_dir):
+    b = src.event_bars(spark, sf_dir, HOUR)
+    r = levels.clock_ranges(b, 0, 8, HOUR, 0.5)
+    return rounded(signals.clock_breakout(b.withColumn("day", clock.day_utc(F.col("t_ms"))), r, 8).where("side is not null"), "symbol", "t_ms", "side", "range_high", "range_low")
+
+
+@query(f"with b as ({BARS}), x as (select *, sum(case when c > o then 1 else 0 end) over {frame(2)} as u, sum(case when c < o then 1 else 0 end) over {frame(2)} as d from b), y as (select *, lag(u) over {ALL} as pu, lag(d) over {ALL} as pd from x) select symbol, t_ms, case when u = 2 and pu != 2 then 'long' else 'short' end as side from y where (u = 2 and pu != 2) or (d = 2 and pd != 2)")
+def streak_canary_signals(spark, sf_dir):
+    return _found(signals.streak_canary(events(spark, sf_dir)))
+
+
+_family("triple_screen_signals", lambda b: signals.triple_screen(asof.completed_trend(ind.ema(b, 10), src.resample(b, DAY), HOUR, DAY)))
+_family("dual_ema_signals", lambda b: signals.dual_ema_resumption(ind.ema(ind.ema(b, 5, "fast"), 20, "slow")))
+_family("ema_ribbon_signals", lambda b: signals.ema_ribbon(ind.ema(ind.ema(ind.ema(b, 5, "e1"), 10, "e2"), 20, "e3"), ["e1", "e2", "e3"]))
+_family("range_fake_signals", lambda b: signals.range_fake(shapes.narrow_ranges(b, 6, 40)))
+_family("triple_push_signals", lambda b: signals.triple_push(shapes.swings(b, 2)))
+_family("regime_cross_signals", lambda b: signals.regime_cross(ind.supertrend(ind.hma(ind.volume_stats(b), 9))))
+
+
+@query()
+def seed_variants(spark, sf_dir):
+    """Wilder's ATR seeded with a mean (at once), the plain full-window mean, and the EMA that counts from 3 n bars on."""
+    b = ind.indexed(ind.ema(ind.wilder_atr(ind.atr_full(events(spark, sf_dir))), 10))
+    return rounded(b.withColumn("ema_late", F.when(F.col("i") >= 30, F.col("ema"))), "symbol", "t_ms", "wilder_atr", "atr_full", "ema_late")
