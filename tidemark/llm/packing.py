@@ -12,12 +12,15 @@ with nothing but the own document's pieces; ties go to the lower doc_id; repeate
 gives no rows.
 """
 
+import hashlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import _spark, _text
+
 CAPACITY, SHARD = 2048, 2048
 
 
@@ -62,6 +65,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, distinc
     """items: doc_id, n_words, source, cluster. Per piece: doc_id, piece, start_word, n_words, bin_id, bin_start (its first word's place in the bin)."""
     source = F.col("source").cast("string") if distinct_sources else F.lit(None).cast("string")
     items = items.select("doc_id", F.col("n_words").cast("long").alias("all"), source.alias("source"), F.coalesce(F.col("cluster").cast("string"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"))).alias("cluster"))
+    items = _spark.cut(items, "items")  # texts are read once, though items are counted first
     pieces = items.where("all > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("all") - 1) / capacity))))
     pieces = pieces.withColumn("start_word", F.col("piece") * capacity).withColumn("n_words", F.least(F.lit(capacity).cast("long"), F.col("all") - F.col("start_word")))
     total = items.where("all > 0").agg(F.sum(F.ceil(F.col("all") / capacity))).first()[0] or 0
@@ -74,9 +78,16 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, distinc
     return packed.union(none)
 
 
+def _items(batches):
+    for batch in batches:
+        for part in _text.slices(batch, "_text"):
+            words = _text.Words(*_text.buffer(part.column("_text")))
+            h, first = words.hashes(_text.LOWER), words.first
+            same = b"".join(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest() for a, b in zip(first, first[1:], strict=False))
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(words.count), pa.array(np.frombuffer(same, np.int64))], names=["doc_id", "source", "n_words", "cluster"])
+
+
 def items_of(docs: DataFrame) -> DataFrame:
-    """What pack() needs of documents; texts with the same words, whatever their case, are one cluster."""
-    text = F.col("text").cast("string")
-    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
-    same = F.xxhash64(F.lower(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")))
-    return docs.select("doc_id", F.coalesce(words, F.lit(0)).alias("n_words"), "source", F.when(text.isNotNull(), same).alias("cluster"))
+    """What pack() needs of documents; texts with the same words, whatever the case of A-Z, are one cluster."""
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ("doc_id", "source"))
+    return docs.select(F.col("text").cast("string").alias("_text"), "doc_id", "source").mapInArrow(_items, f"{kinds}, n_words long, cluster long")
