@@ -101,6 +101,21 @@ def test_brackets(bars):
     assert seen == len(got) > 3
 
 
+def test_managed(spark, bars):
+    rows = [  # o, h, l, c: a limit at 10 with its stop at 8 fills on bar 2, takes half at 12, and leaves at the entry
+        (11, 12, 10.5, 11, "long"), (11, 11.5, 10.5, 11, None), (10.5, 11, 9, 10.5, None), (10.5, 12.5, 10.2, 12, None), (12, 12, 9.5, 11, None), (11, 12, 11, 12, "short"), (12, 12, 11, 11, None),
+    ]
+    b = spark.createDataFrame([("S", i, *map(float, x[:4]), x[4], {"long": 8.0, "short": 13.0}.get(x[4]), {"long": 10.0, "short": 20.0}.get(x[4]), 1.0) for i, x in enumerate(rows)], "symbol string, t_ms long, o double, h double, l double, c double, side string, stop double, limit double, atr double")
+    got = trades.managed(b, trades.Management(expiry=3, breakeven_r=1.0, partial_r=1.0, risk=100.0)).collect()
+    assert [(r.entry_i, r.entry, r.exit_i, r.exit, r.reason, r.stop, r.size, r.points, r.partial) for r in got] == [(2, 10.0, 4, 10.0, "stop", 8.0, 50.0, 1.0, True)]
+    trail = trades.managed(b.drop("limit"), trades.Management(trail_atr=1.0)).collect()
+    assert [(r.entry_i, r.exit_i, r.exit, r.reason) for r in trail] == [(1, 2, 10.0, "stop"), (6, 6, 11.0, "end-of-test")]
+    s = signals.donchian_breakout(ind.donchian(ind.atr(bars), 10), 1.0)
+    same = ["symbol", "entry_i", "entry", "exit_i", "exit", "reason", "stop", "target"]
+    plain = trades.managed(s, trades.Management(most_bars=15, target_r=1.5, cooldown=2)).select(same).collect()
+    assert sorted(plain) == sorted(trades.brackets(s, most_bars=15, target_r=1.5, cooldown=2).select(same).collect()) and len(plain) > 6
+
+
 FAMILIES = {
     "momentum": lambda b: signals.price_momentum(ind.rate_of_change(b, 5), 3),
     "failed": lambda b: signals.failed_breakout(b),

@@ -1,5 +1,7 @@
 """Trades from signals: islands of a rule, timed trades, and bracket orders with one position at a time."""
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -104,6 +106,85 @@ def brackets(signals: DataFrame, most_bars: int = 0, cooldown: int = 0, risk: fl
     return signals.select("symbol", "t_ms", "o", "h", "l", "c", "side", *[c for c in has if has[c]]).groupBy("symbol").applyInArrow(run, f"symbol string, {TRADE}")
 
 
+@dataclass(frozen=True)
+class Management:
+    """How orders are entered and positions kept; 0 or None: not at all."""
+
+    expiry: int = 0  # bars for which a limit order stands
+    cooldown: int = 0
+    most_bars: int = 0
+    target_r: float | None = None
+    breakeven_r: float | None = None  # the move, in risks, from which the stop stands at the entry
+    partial_r: float | None = None  # the move, in risks, at which half is taken
+    trail_atr: float | None = None  # the stop follows the close at so many ATRs
+    risk: float | None = None  # money lost at the first stop; sizes the position
+
+
+def managed(signals: DataFrame, m: Management) -> DataFrame:
+    """Like brackets, with limit entries (column limit), sizes, partial exits and moving stops (needs stop; trail_atr needs atr).
+
+    A limit order fills from the bar after its signal on, at its price or at a better open, and goes after m.expiry bars;
+    no other order is made while it stands. On each bar exits come first, in the order of brackets; then half is taken;
+    then, at its close, the stop moves, and only ever closer. points are by unit, the half taken included.
+    """
+    names = [c for c in ("stop", "limit", "atr") if c in signals.columns]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t_ms")
+        get = lambda c: table.column(c).to_numpy().astype(float) if c in table.column_names else np.full(table.num_rows, np.nan)
+        t, (o, h, low, c, stops, limits, atr) = table.column("t_ms").to_numpy(), map(get, ("o", "h", "l", "c", "stop", "limit", "atr"))
+        sides, n, free, last, rows = table.column("side").to_pylist(), len(t), 0, -(10**9), []
+        for i in (i for i, s in enumerate(sides) if s):
+            if i < free or i + 1 >= n or i + 1 - last <= m.cooldown:
+                continue
+            way, j, stop = (1 if sides[i] == "long" else -1), i + 1, stops[i]
+            fill = o[j]
+            if m.expiry and not np.isnan(limits[i]):
+                end = min(i + m.expiry, n - 1)
+                j = next((k for k in range(i + 1, end + 1) if ((low[k] if way > 0 else h[k]) - limits[i]) * way <= 0), -1)
+                free = end
+                if j < 0:
+                    continue
+                fill = min(o[j], limits[i]) if way > 0 else max(o[j], limits[i])
+            if np.isnan(stop) or (fill - stop) * way <= 0:
+                continue
+            r, first, half, last = abs(fill - stop), stop, None, j
+            goal = fill + way * m.target_r * r if m.target_r is not None else np.nan
+            for k in range(j, n):
+                best = (h[k] if way > 0 else low[k])
+                out = None
+                if k > j and (o[k] - stop) * way <= 0:
+                    out = (o[k], "stop-gap")
+                elif ((low[k] if way > 0 else h[k]) - stop) * way <= 0:
+                    out = (stop, "stop")
+                elif (best - goal) * way >= 0:
+                    out = (goal, "target")
+                elif m.most_bars and k - j + 1 >= m.most_bars:
+                    out = (c[k], "time")
+                elif k == n - 1:
+                    out = (c[k], "end-of-test")
+                if out is None or out[1] == "target":
+                    if m.partial_r is not None and half is None and (best - fill) * way >= m.partial_r * r:
+                        half = m.partial_r * r
+                if out:
+                    points = (out[0] - fill) * way
+                    points = points if half is None else (points + half) / 2
+                    size = m.risk / r if m.risk is not None else 1.0
+                    rows.append((j, int(t[j]), fill, k, int(t[k]), out[0], out[1], sides[i], first, None if np.isnan(goal) else goal, size, points, half is not None))
+                    free = k
+                    break
+                if m.breakeven_r is not None and (best - fill) * way >= m.breakeven_r * r:
+                    stop = max(stop, fill) if way > 0 else min(stop, fill)
+                if m.trail_atr is not None and not np.isnan(atr[k]):
+                    stop = max(stop, c[k] - m.trail_atr * atr[k]) if way > 0 else min(stop, c[k] + m.trail_atr * atr[k])
+        return pa.Table.from_pylist([dict(zip(schema.names, (table.column("symbol")[0].as_py(), *r), strict=True)) for r in rows], schema)
+
+    kinds = f"symbol string, {TRADE}, size double, points double, partial boolean"
+    arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_()}
+    schema = pa.schema([(x.split()[0], arrow[x.split()[1]]) for x in kinds.split(", ")])
+    return signals.select("symbol", "t_ms", "o", "h", "l", "c", "side", *names).groupBy("symbol").applyInArrow(run, kinds)
+
+
 def excursions(trades: DataFrame, bars: DataFrame, after: int = 12) -> DataFrame:
     """trades with mfe and mae (best and worst move from the entry while in it) and post_mfe over `after` bars more; bars: symbol, i, h, l.
 

@@ -131,3 +131,11 @@ def fifteen_digits(x: pd.Series) -> pd.Series:
 
 def signal_id(strategy: str, version: int, t: str = "entry_t") -> Column:
     return F.sha2(F.concat_ws("|", F.lit(strategy), F.lit(str(version)), "symbol", F.col(t).cast("string"), "side"), 256)
+
+
+def selected(rows: DataFrame, key: str, baseline: str, least: int) -> DataFrame:
+    """Cost rows with eligible (trades enough, no more drawdown than the baseline's row) and chosen: the best net among them, ties to the first key."""
+    base = rows.where(F.col(key) == baseline).agg(F.max("drawdown").alias("_most"))  # one row
+    out = rows.crossJoin(F.broadcast(base)).withColumn("eligible", (F.col("trades") >= least) & F.coalesce(F.col("drawdown") <= F.col("_most") + 1e-9, F.lit(False)))
+    best = out.where("eligible").agg(F.min_by(key, F.struct((-F.col("net")).alias("n"), F.col(key).alias("k"))).alias("_best"))  # one row
+    return out.crossJoin(F.broadcast(best)).withColumn("chosen", F.coalesce(F.col(key) == F.col("_best"), F.lit(False))).drop("_most", "_best")
