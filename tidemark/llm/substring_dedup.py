@@ -29,7 +29,7 @@ from . import _deal, _spark, _text
 
 WINDOW, ROUNDS = 35, 4
 #: Symbols' occurrences in a fragment at about, and windows in a task before it sends them on.
-FRAGMENT, HELD = 50_000, 4_000_000
+FRAGMENT, HELD = 50_000, 1_500_000
 #: Bits of the bitmap at most (16 MB), and for each shared symbol where that suffices.
 MOST_BITS, BITS_EACH = 1 << 27, 16
 #: A list of single windows of more bytes than this is joined by a shuffle, not a broadcast.
