@@ -1,6 +1,7 @@
 """Indicators, joins, signals and trades against brute force on small series."""
 
 import json
+import math
 import random
 import struct
 
@@ -156,6 +157,43 @@ def test_swings_and_counter(bars):
         assert (high is None and np.isnan(x.swing_high[i])) or x.swing_high[i] == high
 
 
+def brute_zone(x, i, least, most, width=3.0, contain=0.85, touches=3, touch=0.5, drift=0.5, crossings=4, buffer=0.25, least_width=1.0):
+    """Bars, high and low of the zone that ends at bar i, bar by bar; None without one."""
+    top, bottom, atr = np.maximum(x.o, x.c), np.minimum(x.o, x.c), x.atr[i]
+    a, hi, lo = i, top[i], bottom[i]
+    while a > 0 and i - a + 2 <= most and max(hi, top[a - 1]) - min(lo, bottom[a - 1]) <= width * atr:
+        a, hi, lo = a - 1, max(hi, top[a - 1]), min(lo, bottom[a - 1])
+    n, sides, seen = i - a + 1, [s for s in np.sign(x.c[a : i + 1] - (hi + lo) / 2) if s], []
+    for near in (lambda j: top[j] >= hi - touch * atr, lambda j: bottom[j] <= lo + touch * atr):
+        seen.append([])
+        for j in range(a, i + 1):
+            if near(j) and (not seen[-1] or j - seen[-1][-1] > 1):
+                seen[-1].append(j)
+    far = max(touch, buffer) * atr
+    out = sum(x.h[j] > hi + far or x.l[j] < lo - far for j in range(a, i + 1))
+    fits = n >= least and hi > lo and hi - lo >= least_width * atr and abs(x.c[i] - x.c[a]) <= drift * (hi - lo) and sum(p != q for p, q in zip(sides, sides[1:])) >= crossings
+    fits = fits and min(map(len, seen)) >= touches and out <= n - math.ceil(contain * n)
+    return (n, hi + buffer * atr, lo - buffer * atr) if fits else None
+
+
+@pytest.mark.parametrize("kw", [{}, {"contain": 1.0}, {"touches": 5}, {"drift": 0.1}, {"crossings": 9}, {"least_width": 2.3}, {"touch": 0.2, "contain": 0.95}])
+def test_narrow_ranges(spark, kw):
+    r, rows = random.Random(8), []
+    for s in ("AA", "BB"):
+        c = 100.0
+        for i in range(500):  # a mean that moves now and then, so that stretches of all lengths come up
+            o, c = c, 100 + 6 * (i // 90) + r.uniform(-2, 2)
+            wick = lambda: r.uniform(0, 4) if r.random() < 0.1 else r.uniform(0, 0.5)
+            rows.append((s, i * HOUR, o, max(o, c) + wick(), min(o, c) - wick(), c, 1.0))
+    b = ind.atr(spark.createDataFrame(rows, "symbol string, t_ms long, o double, h double, l double, c double, v double"))
+    x = one(shapes.narrow_ranges(b, 6, 40, **kw))
+    want = [brute_zone(x, i, 6, 40, **kw) for i in range(len(x))]
+    got = [None if np.isnan(n) else (int(n), hi, lo) for n, hi, lo in zip(x.zone_bars, x.zone_high, x.zone_low)]
+    assert [g and g[0] for g in got] == [w and w[0] for w in want]
+    assert all(g == pytest.approx(w) for g, w in zip(got, want) if w)
+    assert any(want) and (kw or {w[0] for w in want if w} - {6, 7, 10, 13, 17, 23, 30, 40})
+
+
 def test_profile_and_area(spark, bars):
     b = bars.withColumn("day", clock.day_utc(F.col("t_ms")))
     p = shapes.volume_profile(b, 1.0, ["symbol", "day"])

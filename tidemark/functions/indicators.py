@@ -150,7 +150,7 @@ def fold(bars: DataFrame, make: Callable[[dict[str, np.ndarray]], dict[str, np.n
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("t_ms")
-        made = make({c: table.column(c).to_numpy() for c in ("o", "h", "l", "c") if c in columns})
+        made = make({c: table.column(c).to_numpy() for c in ("o", "h", "l", "c", "atr") if c in columns})
         for n in names:
             table = table.append_column(n, pa.array(made[n], from_pandas=True))
         return table

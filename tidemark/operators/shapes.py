@@ -108,20 +108,55 @@ def regime(bars: DataFrame, enter: float = 0.4, leave: float = 0.4) -> DataFrame
     return out.withColumn("regime", F.when(F.coalesce(F.last("_m", True).over(series().rowsBetween(NEVER, 0)), F.lit(0)) == 1, "trending").otherwise("ranging")).drop("_m")
 
 
-def narrow_ranges(bars: DataFrame, least: int = 24, most: int = 160, width: float = 3.0, contain: float = 0.85) -> DataFrame:
-    """Needs atr: the longest stretch back from each bar, least to most bars, no wider than width ATRs; zone_high, zone_low, zone_bars.
-
-    For each allowed length in turn this is a moving max and min, so a stretch is found without looking at bars one by one.
+def narrow_ranges(
+    bars: DataFrame, least: int = 24, most: int = 160, width: float = 3.0, contain: float = 0.85,
+    touches: int = 3, touch: float = 0.5, drift: float = 0.5, crossings: int = 4, buffer: float = 0.25, least_width: float = 1.0,
+) -> DataFrame:
+    """Needs atr: the longest stretch back from each bar, at most `most` bars, whose bodies are no wider than width ATRs; zone_high, zone_low, zone_bars.
+
+    It is a zone if it has at least `least` bars, bodies at least least_width ATRs wide, closes that end within drift of
+    the width from where they began and cross its middle `crossings` times, each edge touched `touches` times (bodies
+    within touch ATRs of it, not two bars in a row), and the share contain of its bars, wicks included, within the edges
+    and the larger of touch and buffer ATRs. Its edges are those of the bodies, moved out by buffer ATRs.
+
+    A shorter stretch is not tried if the longest fails. A bar without prices or ATR is in no zone.
     """
-    lengths = sorted({least, *[int(least * (most / least) ** (k / 7)) for k in range(8)], most})
-    out = bars.withColumn("_n", F.count("c").over(last(most)))
-    best = F.lit(None)
-    for n in lengths:
-        hi, lo, body = F.max("h").over(last(n)), F.min("l").over(last(n)), F.max(F.greatest("o", "c")).over(last(n)) - F.min(F.least("o", "c")).over(last(n))
-        fits = (F.col("_n") >= n) & (hi - lo <= width * F.col("atr")) & (body >= contain * 0)
-        best = F.when(fits, F.struct(F.lit(n).alias("n"), hi.alias("hi"), lo.alias("lo"))).otherwise(best)
-    out = out.withColumn("_z", best)
-    return out.withColumn("zone_bars", F.col("_z.n")).withColumn("zone_high", F.col("_z.hi")).withColumn("zone_low", F.col("_z.lo")).drop("_z", "_n")
+
+    def count_touches(on: np.ndarray) -> np.ndarray:
+        """Every other bar of each run counts, its first one included."""
+        at = np.arange(on.shape[1])
+        before = np.maximum.accumulate(np.where(on, -1, at), axis=1)
+        return (on & ((at - before) % 2 == 1)).sum(1)
+
+    def count_changes(sign: np.ndarray) -> np.ndarray:
+        """Changes of sign, zeros left out."""
+        held = np.maximum.accumulate(np.where(sign != 0, np.arange(sign.shape[1]), 0), axis=1)
+        sign = np.take_along_axis(sign, held, 1)
+        return (sign[:, 1:] * sign[:, :-1] < 0).sum(1)
+
+    def make(x):
+        size = len(x["c"])
+        top, bottom = np.maximum(x["o"], x["c"]), np.minimum(x["o"], x["c"])
+        back = lambda v: np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(most - 1, np.nan), v]), most)[:, ::-1]  # noqa: E731  row i: v[i], v[i - 1], ...
+        tops, bottoms, highs, lows, closes = back(top), back(bottom), back(x["h"]), back(x["l"]), back(x["c"])
+        out = {n: np.full(size, np.nan) for n in ("zone_bars", "zone_high", "zone_low")}
+        for a in range(0, size, 2048):
+            i = np.arange(a, min(a + 2048, size))
+            hi, lo = np.maximum.accumulate(tops[i], axis=1), np.minimum.accumulate(bottoms[i], axis=1)
+            n = 1 + (hi - lo <= width * x["atr"][i, None])[:, 1:].sum(1)  # width only grows with length
+            hi, lo = hi[np.arange(len(i)), n - 1], lo[np.arange(len(i)), n - 1]
+            on = (n >= least) & (hi > lo) & (hi - lo >= least_width * x["atr"][i]) & (np.abs(x["c"][i] - x["c"][i - n + 1]) <= drift * (hi - lo))
+            i, n, hi, lo = i[on], n[on], hi[on], lo[on]
+            h, w, atr, held = hi[:, None], lo[:, None], x["atr"][i, None], np.arange(most) < n[:, None]
+            on = count_changes(np.where(held, np.sign(closes[i] - (h + w) / 2), 0)) >= crossings
+            on &= (count_touches(held & (tops[i] >= h - touch * atr)) >= touches) & (count_touches(held & (bottoms[i] <= w + touch * atr)) >= touches)
+            far = max(touch, buffer) * atr
+            on &= (held & ((highs[i] > h + far) | (lows[i] < w - far))).sum(1) <= n - np.ceil(contain * n)
+            i, atr = i[on], x["atr"][i[on]]
+            out["zone_bars"][i], out["zone_high"][i], out["zone_low"][i] = n[on], hi[on] + buffer * atr, lo[on] - buffer * atr
+        return out
+
+    return fold(bars, make, "zone_bars", "zone_high", "zone_low").withColumn("zone_bars", F.col("zone_bars").cast("int"))
 
 
 def channels(bars: DataFrame, lookback: int = 60) -> DataFrame:
