@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, gif, jaccard_join, language_id, packing, pii, quality_knn, substring_dedup, url_filter
+from tidemark.llm import _ngrams, chat_format, decontaminate, gif, jaccard_join, language_id, packing, pii, quality_knn, substring_dedup, url_filter
 
 WORDS = [a + b for a in ("al", "be", "ci", "do", "en", "fu", "Ga") for b in ("n", "m", "st", "lé", "x", "")]
 
@@ -211,6 +211,17 @@ def test_language(spark, none):
     assert {r.lang_pred for r in language_id.predict(docs, language_id.fit(docs, learn.limit(0)), ["doc_id"]).collect()} == {"und"}
 
 
+def test_rare_language_is_learned(spark):
+    rare = {r.id for r in spark.range(20002).orderBy(F.xxhash64("id").desc()).limit(2).collect()}  # a sample of all rows by hash takes these last
+    rows = [(i, "der hund liegt auf dem boden", "de") if i in rare else (i, "the cat sat on the mat", "en") for i in range(20002)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    few = {r["label"]: r["count"] for r in _ngrams.even(docs.select("doc_id", "label"), 100).groupBy("label").count().collect()}
+    assert few == {"en": 98, "de": 2}
+    model = language_id.fit(docs.select("doc_id", "text"), docs.select("doc_id", "label"))
+    out = language_id.predict(docs, model, ["doc_id", "label"]).where("lang_pred <> label")
+    assert out.count() == 0
+
+
 def gif_of(frames, w, h, palette, loops=b""):
     """A file from (left, top, w, h, samples, delay, disposal, hidden, interlaced, local palette)."""
     out = b"GIF89a" + w.to_bytes(2, "little") + h.to_bytes(2, "little") + bytes([0xF7, 0, 0]) + bytes(palette.reshape(-1))

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import _text
 
@@ -37,6 +37,19 @@ def counts(texts: pa.Array, size: int, letters_only: bool, n: int = 3) -> np.nda
     return np.bincount(key, minlength=rows * size).reshape(rows, size).astype(np.float32)
 
 
+def even(labels: DataFrame, rows: int) -> DataFrame:
+    """At most rows of labels (doc_id, label), by a hash of doc_id: no label has a next row before each other one has as many or all of its own.
+
+    Of a large label only the rows with the least hashes, about twice as many as may be taken, are numbered.
+    """
+    own = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label")).withColumn("_h", F.xxhash64("doc_id"))
+    held = own.groupBy("label").agg(F.count("*").alias("_n"))
+    most = F.least(F.lit(1.0), (2.0 * rows + 64) / F.col("_n")) * 2.0**64 - 2.0**63
+    few = own.join(held, "label").where(F.col("_h").cast("double") <= most)
+    few = few.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("_h", "doc_id"))).where(F.col("_r") <= rows)
+    return few.orderBy("_r", "_h", "doc_id").limit(rows).select("doc_id", "label")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, rows: int, size: int, features) -> tuple[list, np.ndarray]:
     """At most rows of labels (doc_id, label), by a hash of doc_id, and what features(texts) makes of their texts. Bounded: rows x size numbers reach the driver."""
     few = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))

@@ -1,6 +1,6 @@
 """Language by hierarchical discrimination: first the family, then linear SVMs, one against one, within it.
 
-A bounded sample of labelled rows (SAMPLE) fits it: log counts of hashed letter trigrams, scaled to length 1; a
+A bounded sample of labelled rows (SAMPLE, shared evenly by the languages) fits it: log counts of hashed letter trigrams, scaled to length 1; a
 softmax over families; and for each pair of languages of one family a linear support vector machine (squared hinge).
 The weights are of fixed size and are broadcast. A language that FAMILY does not list is a family of its own.
 
@@ -94,7 +94,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs: doc_id, text; labels: doc_id, label (a language code)."""
-    y, x = _ngrams.labelled(docs, labels, SAMPLE, SIZE, trigrams)
+    y, x = _ngrams.labelled(docs, _ngrams.even(labels, SAMPLE), SAMPLE, SIZE, trigrams)
     on = x.sum(1) > 0
     y, x = np.array(y, object)[on], scaled(x[on])
     groups: dict[str, list[str]] = {}
