@@ -102,6 +102,12 @@ def test_brackets(bars):
     assert seen == len(got) > 3
 
 
+def test_all_cost_modes(spark):
+    t = spark.createDataFrame([("long", 10.0, 12.0)], "side string, entry double, exit double")
+    costs = spark.range(trades.FEW + 200).select(F.col("id").cast("string").alias("label"), F.col("id").cast("double").alias("fee"), F.lit(0.0).alias("slippage"), F.lit(0.0).alias("slippage_bps"))
+    assert {r.label: r.pnl for r in trades.with_costs(t, costs).collect()} == {str(i): 2.0 - i for i in range(trades.FEW + 200)}
+
+
 def test_managed(spark, bars):
     rows = [  # o, h, l, c: a limit at 10 with its stop at 8 fills on bar 2, takes half at 12, and leaves at the entry
         (11, 12, 10.5, 11, "long"), (11, 11.5, 10.5, 11, None), (10.5, 11, 9, 10.5, None), (10.5, 12.5, 10.2, 12, None), (12, 12, 9.5, 11, None), (11, 12, 11, 12, "short"), (12, 12, 11, 11, None),

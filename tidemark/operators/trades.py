@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.indicators import series
 
+#: More cost modes than this are not broadcast.
+FEW = 1000
+
 
 def hold_while(bars: DataFrame, rule: Column) -> DataFrame:
     """Long while rule holds: in at the next open after it first does, out at the next open after it first does not.
@@ -44,8 +47,8 @@ def timed_trades(bars: DataFrame, calendar: DataFrame) -> DataFrame:
 
 
 def with_costs(trades: DataFrame, costs: DataFrame) -> DataFrame:
-    """trades under each cost mode (label, fee, slippage, slippage_bps), a few rows: fills move against the trade; pnl per unit, less the exit's fee."""
-    out = trades.crossJoin(F.broadcast(costs.limit(1000)))
+    """trades under each cost mode (label, fee, slippage, slippage_bps), all of them, broadcast if at most FEW: fills move against the trade; pnl per unit, less the exit's fee."""
+    out = trades.crossJoin(F.broadcast(costs) if costs.limit(FEW + 1).count() <= FEW else costs)
     way = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     slip = lambda p: F.col("slippage") + F.abs(F.col(p)) * F.col("slippage_bps") / 10000
     out = out.withColumn("entry_fill", F.col("entry") + way * slip("entry")).withColumn("exit_fill", F.col("exit") - way * slip("exit"))
