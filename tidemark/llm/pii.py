@@ -2,7 +2,7 @@
 
 The field is trained on a small labelled table (`labelled_table`, or the user's own with columns sentence, position,
 token, tag). Tokens without a digit or "@" are bound to the tag O, so that a text falls into short independent chains
-between them; Viterbi over these is exact, and runs over many chains at once in numpy.
+between them; Viterbi over these is exact, and runs over many chains at once in numpy, whose memory CELLS bounds.
 
 Defined results: null is as empty text, without spans; spans count code points, end exclusive; a pattern's spans stay,
 and a span of the field that overlaps one is dropped; repeated rows get equal results; kept columns pass through.
@@ -10,6 +10,7 @@ and a span of the field that overlaps one is dropped; repeated rows get equal re
 
 import random
 import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,11 +23,13 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{side}-{kind}" for kind in KINDS for side in "BI"))
 #: Rows of the labelled table at most; steps and rate of training; weight of the squared weights.
 TABLE, STEPS, RATE, RIDGE = 20_000, 120, 0.2, 0.02
+#: Tokens that are decoded at once at most, and characters of a shape.
+CELLS, LONGEST_SHAPE = 16_384, 64
 
 _AFTER_AT = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOTTED = re.compile(r"[0-9][0-9.]*")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?+[0-9])++")  # never goes back: a sign is a digit or not
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -55,14 +58,15 @@ def _emails(text: str):
 def _ips(text: str):
     """Four runs of digits joined by single dots, leftmost first; parts over 255 drop a match."""
     for m in _DOTTED.finditer(text):
-        if m.group().count(".") < 3:
+        whole, at = m.group(), m.start()
+        if whole.count(".") < 3:
             continue
-        parts = [(p.start(), p.end()) for p in re.finditer(r"[0-9]+", m.group())]
+        parts = [(p.start(), p.end()) for p in re.finditer(r"[0-9]+", whole)]
         i = 0
         while i + 3 < len(parts):
             if all(parts[i + k + 1][0] - parts[i + k][1] == 1 for k in range(3)):
-                if all(b - a <= 9 and int(m.group()[a:b]) <= 255 or not m.group()[a:b].lstrip("0")[3:] and int(m.group()[a:b].lstrip("0") or 0) <= 255 for a, b in parts[i : i + 4]):
-                    yield m.start() + parts[i][0], m.start() + parts[i + 3][1]
+                if all(len(x := whole[a:b].lstrip("0")) < 4 and int(x or 0) <= 255 for a, b in parts[i : i + 4]):
+                    yield at + parts[i][0], at + parts[i + 3][1]
                 i += 4
             else:
                 i += 1
@@ -92,27 +96,35 @@ def core(token: str) -> tuple[int, int]:
 
 
 def shape(word: str) -> str:
-    """Digits as d and their number, letters as x, other signs as they are."""
-    return re.sub(r"[0-9]+", lambda m: f"d{min(len(m.group()), 20)}", re.sub(r"[^\W0-9_]+", "x", word[:80]))
+    """Digits as d and their number, letters as x, other signs as they are; ~ if that is longer than any shape in use."""
+    out = re.sub(r"[0-9]+", lambda m: f"d{min(len(m.group()), 20)}", re.sub(r"[^\W0-9_]+", "x", word))
+    return out if len(out) <= LONGEST_SHAPE else "~"
 
 
-def features(words: list[str]) -> list[list[str]]:
-    """Of each token of one chain: its shape, that of its neighbours, its number of digits, whether it could be a card or an address."""
-    shapes = [shape(w) for w in words]
-    rough = ["<", *(re.sub(r"d[0-9]+", "d", s) for s in shapes), ">"]
+def signs(words: list[str]) -> list[tuple]:
+    """All that the features of each token of one chain say: shapes (before, own, after), number of digits, whether it could be a card, an address, a mail."""
+    shapes = ["<", *(shape(w) for w in words), ">"]
     out = []
     for i, w in enumerate(words):
-        digits = re.sub(r"[^0-9]", "", w[:80])
-        out.append([f"s{shapes[i]}", f"c{rough[i + 1]}", f"p{rough[i]}", f"n{rough[i + 2]}", f"d{min(len(digits), 20)}", f"P{shapes[i - 1] if i else ''}|{rough[i + 1]}", f"N{rough[i + 1]}|{shapes[i + 1] if i + 1 < len(shapes) else ''}"])
-        if 13 <= len(digits) <= 19 and re.fullmatch(r"[0-9-]+", w[:80]) and luhn(digits):
-            out[-1].append("card")
-        if re.fullmatch(r"([0-9]{1,3}\.){3}[0-9]{1,3}", w[:80]) and all(int(p) < 256 for p in w.split(".")):
-            out[-1].append("ip")
-        if "@" in w:
-            out[-1].append("@")
+        digits = re.sub(r"[^0-9]", "", w)
+        card = 13 <= len(digits) <= 19 and re.fullmatch(r"[0-9-]+", w) is not None and luhn(digits)
+        ip = re.fullmatch(r"([0-9]{1,3}\.){3}[0-9]{1,3}", w) is not None and all(int(p) < 256 for p in w.split("."))
+        out.append((*shapes[i : i + 3], min(len(digits), 20), card, ip, "@" in w))
     return out
 
 
+def named(sign: tuple) -> list[str]:
+    """The features of a token with these signs."""
+    before, own, after, digits, card, ip, at = sign
+    rough = [re.sub(r"d[0-9]+", "d", s) for s in (before, own, after)]
+    out = [f"s{own}", f"c{rough[1]}", f"p{rough[0]}", f"n{rough[2]}", f"d{digits}", f"P{before}|{rough[1]}", f"N{rough[1]}|{after}"]
+    return out + [name for name, on in (("card", card), ("ip", ip), ("@", at)) if on]
+
+
+def features(words: list[str]) -> list[list[str]]:
+    return [named(sign) for sign in signs(words)]
+
+
 def chains(tokens: list[str]) -> list[list[int]]:
     """Runs of tokens with a digit or "@"."""
     out, last = [], -2
@@ -125,6 +137,23 @@ def chains(tokens: list[str]) -> list[list[int]]:
     return out
 
 
+class Chain:
+    """Neighbouring tokens of one text, kept as their places, so that a very long chain takes 16 bytes a token."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, array("q"), array("q")
+
+    def add(self, start: int, end: int) -> None:
+        self.start.append(start)
+        self.end.append(end)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, part: slice) -> list[str]:
+        return [self.text[a:b] for a, b in zip(self.start[part], self.end[part], strict=True)]
+
+
 @dataclass
 class Field:
     index: dict[str, int]
@@ -132,36 +161,54 @@ class Field:
     move: np.ndarray  # tag x next tag
     start: np.ndarray
 
-    def emissions(self, chain: list[str]) -> np.ndarray:
-        return np.array([self.state[[self.index[f] for f in fs if f in self.index]].sum(0) for fs in features(chain)]).reshape(-1, len(TAGS))
-
-    def decode(self, many: list[list[str]]) -> list[list[int]]:
-        """The best tags of each chain: Viterbi, a step for all chains at once."""
-        if not many:
-            return []
-        sizes = np.array([len(c) for c in many])
+    def emissions(self, chain, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Of the tokens first to last (all): their neighbours on both sides are looked at too."""
+        last = len(chain) if last is None else last
+        a = max(first - 1, 0)
+        near = signs(chain[a : last + 1])[first - a : last - a]
+        kinds = {sign: k for k, sign in enumerate(dict.fromkeys(near))}  # many tokens are alike
+        rows = [self.state[[self.index[f] for f in named(sign) if f in self.index]].sum(0) for sign in kinds]
+        return np.array(rows).reshape(-1, len(TAGS))[[kinds[sign] for sign in near]]
+
+    def decode(self, many: list) -> list[list[int] | np.ndarray]:
+        """The best tags of each chain (list of tokens, or Chain): Viterbi, a step for all chains of a batch at once.
+
+        A batch has CELLS tokens at most, the padding of its shorter chains included; a longer chain is a batch of
+        its own and its emissions come in parts, so that one byte a token and tag is all that it takes.
+        """
+        sizes = np.array([len(c) for c in many], np.int64)
         order = np.argsort(-sizes, kind="stable")
-        out: list[list[int]] = [[] for _ in many]
-        for a in range(0, len(many), 512):
-            rows = order[a : a + 512]
+        out: list = [[] for _ in many]
+        a = 0
+        while a < len(order):
+            rows = order[a : a + max(1, CELLS // max(int(sizes[order[a]]), 1))]
+            a += len(rows)
             size = sizes[rows]
-            e = np.zeros((len(rows), size[0], len(TAGS)))
-            for i, r in enumerate(rows):
-                e[i, : size[i]] = self.emissions(many[r])
-            best, back = e[:, 0] + self.start, np.zeros(e.shape, np.int8)
-            for t in range(1, size[0]):
-                on = size > t  # chains are by length: the first ones
-                m = int(on.sum())
+            longest = int(size[0])
+            if not longest:
+                break
+            back = np.zeros((len(rows), longest, len(TAGS)), np.int8)
+            best = np.zeros((len(rows), len(TAGS)))
+            for t in range(longest):
+                if t % CELLS == 0:
+                    e = np.zeros((len(rows), min(CELLS, longest - t), len(TAGS)))
+                    for i, r in enumerate(rows):
+                        if size[i] > t:
+                            part = self.emissions(many[r], t, min(t + CELLS, int(size[i])))
+                            e[i, : len(part)] = part
+                if t == 0:
+                    best = e[:, 0] + self.start
+                    continue
+                m = int((size > t).sum())  # chains are by length: the first ones
                 step = best[:m, :, None] + self.move
                 back[:m, t] = step.argmax(1)
-                best[:m] = step.max(1) + e[:m, t]
+                best[:m] = step.max(1) + e[:m, t % CELLS]
             for i, r in enumerate(rows):
-                tag = int(best[i].argmax())
-                tags = [tag]
-                for t in range(size[i] - 1, 0, -1):
-                    tag = int(back[i, t, tag])
-                    tags.append(tag)
-                out[r] = tags[::-1]
+                tags = np.zeros(size[i], np.int8)
+                tags[-1] = tag = int(best[i].argmax())
+                for t in range(int(size[i]) - 1, 0, -1):
+                    tags[t - 1] = tag = int(back[i, t, tag])
+                out[r] = tags if len(rows) == 1 else tags.tolist()
         return out
 
 
@@ -268,6 +315,16 @@ def labelled_table(spark: SparkSession, sentences: int = 400, seed: int = 11) ->
     return spark.createDataFrame(rows, "sentence int, position int, token string, tag string")
 
 
+def _apart(spans: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Those of spans (kind, start, end) that overlap none of others."""
+    if not spans or not others:
+        return spans
+    start = np.sort([a for _, a, _ in others])
+    reach = np.maximum.accumulate([b for _, _, b in sorted(others, key=lambda s: s[1])])
+    before = np.searchsorted(start, [b for _, _, b in spans])  # others that begin before the span ends
+    return [s for s, k in zip(spans, before.tolist(), strict=True) if not k or reach[k - 1] <= s[1]]
+
+
 def spans_of(texts: list[str], field: Field) -> list[list[tuple[int, int, int, bool]]]:
     """(kind, start, end, whether a pattern found it) for each text, by kind and start."""
     many, place = [], []
@@ -279,24 +336,24 @@ def spans_of(texts: list[str], field: Field) -> list[list[tuple[int, int, int, b
             if "@" in w or not w.isalpha() and re.search(r"[0-9]", w):
                 a, b = core(w)
                 if last != m.start():
-                    chain = []
-                    many.append(chain)
-                    place.append((i, spots := []))
-                chain.append(w[a:b])
-                spots.append((m.start() + a, m.start() + b))
+                    many.append(chain := Chain(text))
+                    place.append(i)
+                chain.add(m.start() + a, m.start() + b)
                 last = m.end() + 1
     out = []
     added: dict[int, list] = {}
-    for (i, spots), tags in zip(place, field.decode(many), strict=True):
+    for i, chain, tags in zip(place, many, field.decode(many), strict=True):
         open_ = None
-        for (a, b), tag in zip([*spots, (0, 0)], [*tags, 0], strict=True):
-            if open_ and not (tag and tag % 2 == 0 and (tag - 1) // 2 == open_[0]):
-                added.setdefault(i, []).append(tuple(open_))
+        for k in (*np.flatnonzero(tags).tolist(), len(tags)):  # most tokens are of no kind
+            tag = tags[k] if k < len(tags) else 0
+            if open_ and not (tag and tag % 2 == 0 and (tag - 1) // 2 == open_[0] and k == open_[3] + 1):
+                added.setdefault(i, []).append(tuple(open_[:3]))
                 open_ = None
             if tag:
-                open_ = [open_[0], open_[1], b] if open_ else [(tag - 1) // 2, a, b]
+                kind, a, b = int(tag - 1) // 2, chain.start[k], chain.end[k]
+                open_ = [open_[0], open_[1], b, k] if open_ else [kind, a, b, k]
     for i, own in enumerate(base):
-        more = [s for s in added.get(i, ()) if s[2] > s[1] and all(s[2] <= a or b <= s[1] for _, a, b in own)]
+        more = _apart([s for s in added.get(i, ()) if s[2] > s[1]], own)
         out.append(sorted([(*s, True) for s in own] + [(*s, False) for s in more]))
     return out
 
