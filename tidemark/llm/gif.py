@@ -5,8 +5,10 @@
 transparency and disposal, and returns what is to be seen after each frame, when, and its colour histogram.
 
 Defined results: null bytes are as empty ones; `store` pads with zeros up to a positive multiple of 64; a file that is
-no GIF, or breaks off before its first frame, has null frames; samples that are missing from a frame are not drawn;
-repeated rows get equal results; kept columns pass through.
+no GIF, or breaks off before its first frame, has null frames; so has one that claims a canvas or a frame of more than
+MOST_AREA samples, or whose frames would take more than MOST_BYTES together (a few bytes can claim gigabytes); samples
+that are missing from a frame are not drawn; repeated rows get equal results; kept columns pass through and must not be
+named like an output.
 """
 
 import struct
@@ -21,6 +23,8 @@ from . import _text
 WIDTH, ROWS, DELAY = 64, 1024, 10
 #: Bins of each colour channel.
 BINS = 4
+#: Samples of a canvas or a frame, and bytes of all frames of a file, at most.
+MOST_AREA, MOST_BYTES = 1 << 24, 1 << 30
 FRAMES = "array<struct<frame:int,start_ms:bigint,delay_ms:int,left:int,top:int,width:int,height:int,canvas_width:int,canvas_height:int,disposal:int,pixels:binary,histogram:array<int>>>"
 
 
@@ -115,6 +119,9 @@ def lzw_decode(data: bytes, least: int, limit: int) -> np.ndarray:
                 size, up = size + more, up[up]
             size += 1
             start = np.cumsum(size) - size
+            if start[-1] + size[-1] > limit - total:  # codes may stand for far more than the frame holds
+                m, stop = int(np.searchsorted(start, limit - total)), True
+                c, literal, source, size, start = c[:m], literal[:m], source[:m], size[:m], start[:m]
             ref = np.arange(int(start[-1] + size[-1]))
             ref += np.repeat(np.where(literal, 0, start[source] - start), size)
             while True:
@@ -166,8 +173,11 @@ def frames(data: bytes, grey: bool) -> list[dict] | None:
     if flags & 0x80:
         size = 3 << ((flags & 7) + 1)
         common, at = np.frombuffer(data[at : at + size].ljust(768, b"\0"), np.uint8).reshape(-1, 3), at + size
+    if wide * high > MOST_AREA:
+        return None
     canvas = np.zeros((high, wide, 3), np.uint8)
     out, clock = [], 0
+    most = MOST_BYTES // max(wide * high * (1 if grey else 3), 1)
     delay, disposal, hidden = 0, 0, None
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
@@ -188,6 +198,8 @@ def frames(data: bytes, grey: bool) -> list[dict] | None:
             palette, at = np.frombuffer(data[at : at + size].ljust(768, b"\0"), np.uint8).reshape(-1, 3), at + size
         if at >= len(data) or not 1 <= data[at] <= 8:
             break
+        if w * h > MOST_AREA or len(out) >= most:
+            return None
         least = data[at]
         stream, at = _sub_blocks(data, at + 1)
         index = lzw_decode(stream, least, w * h)
