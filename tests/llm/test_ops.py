@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -270,6 +271,22 @@ def test_gif_round_trip(docs, none, rows):
     assert gif.read_frames(gif.store(none, ["doc_id"]), ["doc_id"]).count() == 0
 
 
+def test_gif_that_claims_too_much(spark):
+    """A few bytes that claim gigabytes: null frames, no memory taken."""
+    claims = b"GIF89a" + b"\xff" * 4 + bytes([0, 0, 0]) + b"," + bytes(4) + b"\xff" * 4 + bytes([0, 8, 1, 0, 0, 59])
+    small = b"GIF89a" + bytes([2, 0, 2, 0, 0, 0, 0]) + b"," + bytes(4) + b"\xff" * 4 + bytes([0, 8, 1, 0, 0, 59])
+    got = gif.read_frames(spark.createDataFrame([(1, bytearray(claims)), (2, bytearray(small)), (3, None)], "doc_id long, media binary"), ["doc_id"]).collect()
+    assert [r.frames for r in got] == [None] * 3
+    # codes without a reset that stand for ever longer strings: only what the frame holds is made
+    codes = [256, 1, *range(258, 4095), *([4094] * 40_000), 257]
+    bits = at = 0
+    for k, code in enumerate(codes):
+        width = 9 if k == 0 else int(gif._widths(len(codes))[max(min(k - 1, 4094), 0)])
+        bits, at = bits | code << at, at + width
+    stream = bits.to_bytes(at // 8 + 1, "little")
+    assert (gif.lzw_decode(stream, 8, 5000) == 1).all() and len(gif.lzw_decode(stream, 8, 5000)) == 5000
+
+
 def test_gif_many_frames():
     data = bytes(random.Random(1).randrange(256) for _ in range(64 * 1024 * 2 + 64 * 3))
     frames = gif.frames(gif.encode(data), grey=True)
@@ -354,6 +371,29 @@ def test_field_learns(spark, crf):
     assert hit / all_ > 0.97
 
 
+def test_long_chains_take_little_memory(crf):
+    """A chain far longer than a batch of cells, among short ones: little memory, and the same tags as in one go."""
+    r = random.Random(3)
+    long = " ".join(str(r.randrange(9999)) for _ in range(20_000)) + " (212) 555-0199 " + " ".join(str(r.randrange(99)) for _ in range(20_000))
+    tracemalloc.start()
+    got = pii.spans_of([long, *["call (212) 555-0199 now"] * 511], crf)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert all([s[:3] for s in x] == [(3, 5, 19)] for x in got[1:])
+    part = long.split()[19_000:21_000]
+    for size in (7, 16_384):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(pii, "CELLS", size)
+            tags = list(crf.decode([part])[0])
+        assert size == 7 and (first := tags) or tags == first
+
+
+def test_long_tokens(crf):
+    """What stands after many characters of a token still counts; runs of dotted numbers take linear time."""
+    assert pii.shape("a1" * 100 + "@") == "~" and pii.signs(["x" * 500 + "@"])[0][-1]
+    assert len(list(pii._ips("1." * 400_000))) == 100_000
+
+
 def test_viterbi_is_exact(crf):
     chain = ["+1", "(555)", "555-1234", "12.3.4.5", "4111111111111111"]
     e = crf.emissions(chain)
