@@ -10,9 +10,11 @@ BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where none is set, as in tests."""
+    """The folder that the driver and all executors see; a local one only where none is set and all run on one machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         shared_dir.own = at
     return at
@@ -23,7 +25,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def done(*written: DataFrame) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more."""
+    for df in written:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._cut)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -45,12 +57,13 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # Written, so that the join reads it as a shuffle of its own and a hub's many edges can be split.
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = both.join(small(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        written = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+        large = both.join(small(written), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
         new = cut(least.select("a", F.col("m").alias("b")).union(rest).distinct(), "edges")
+        done(e, written)
         # A forest of stars is the fixed point: no node is both a child and a root, no child has two roots.
         mixed = new.join(new.select(F.col("a").alias("b")).distinct(), "b", "left_semi").limit(1).count()
         e = new
