@@ -76,7 +76,8 @@ def test_near_duplicates(docs, none, rows):
 
 def test_large_group_in_blocks(spark, monkeypatch):
     """A group of near copies larger than a block still is one component, with all its links."""
-    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    for name, value in (("CHUNK", 3), ("LARGEST_CHUNK", 8), ("CHUNKS", 4), ("SEGMENT", 100)):
+        monkeypatch.setattr(jaccard_join, name, value)
     r = random.Random(1)
     base = [r.choice(WORDS) + str(k) for k in range(120)]
     many = []
