@@ -8,12 +8,16 @@ can repeat only where that symbol does.
 
 1. Each window picks, of the symbols of the last round whose extents it holds, the one with the least name; so equal
    windows pick equal symbols. The picked symbols are counted over the whole corpus, summed in tasks first.
-2. A window whose symbol occurs once cannot repeat. The shared symbols go into a bitmap of bounded size, which every
-   task gets; what it lets through by chance costs time only. Windows inside long runs of one word, which hold no
-   extent, are always let through.
+2. A window whose symbol occurs once cannot repeat. The shared symbols go into a bitmap, which every task gets; what it
+   lets through by chance costs time only. Where there are too many for the largest bitmap, occurrences meet by their
+   symbols in fragments of the symbols' range instead, and those of shared ones go back to their documents by a join.
+   Windows inside long runs of one word, which hold no extent, are always let through.
 3. The windows let through meet by their symbols, in fragments of bounded size, and are counted by 64-bit hashes of
    their words; of windows that repeat within a task one is sent on. The single ones go back to their documents.
 
+Only windows of one fragment or one task are compared, HELD at most: among n windows of the whole corpus that makes
+n * HELD / 2 comparisons of 64-bit hashes, so less than one false equality is expected at 10^13 windows (100 TB).
+
 Defined results: null and blank texts have no words; windows never span documents; a text of fewer words than a window
 keeps all; repeated rows are occurrences of their own, so long ones lose all; other columns are not read.
 """
@@ -30,8 +34,8 @@ from . import _deal, _spark, _text
 WINDOW, ROUNDS = 35, 4
 #: Symbols' occurrences in a fragment at about, and windows in a task before it sends them on.
 FRAGMENT, HELD = 50_000, 1_500_000
-#: Bits of the bitmap at most (16 MB), and for each shared symbol where that suffices.
-MOST_BITS, BITS_EACH = 1 << 27, 16
+#: Bits of the bitmap at most (16 MB), for each shared symbol where that suffices, and at least; with less there is none.
+MOST_BITS, BITS_EACH, LEAST_BITS_EACH = 1 << 27, 16, 4
 #: A list of single windows of more bytes than this is joined by a shuffle, not a broadcast.
 BROADCAST_BYTES = 64 << 20
 U = np.uint64
@@ -118,8 +122,13 @@ class Picks:
         number = np.arange(len(begin)) - np.searchsorted(self.doc, self.doc)
         self.number = np.where(self.bare, words.first[self.doc] - self.first[begin] - 1, number).astype(np.int32)
 
-    def passed(self, bitmap: np.ndarray, bits: int) -> np.ndarray:
-        """Whether each occurrence is let through."""
+    def passed(self, shared, part: pa.RecordBatch) -> np.ndarray:
+        """Whether each occurrence is let through: by the bitmap, or as one that the column shared lists."""
+        if shared is None:
+            listed = [np.frombuffer(x.as_buffer(), np.int32) if x.is_valid else np.zeros(0, np.int32) for x in part.column("shared")]
+            at = np.concatenate([x + (np.int64(i) << 32) for i, x in enumerate(listed)]) if listed else np.zeros(0, np.int64)
+            return self.bare | np.isin(self.number + (self.doc.astype(np.int64) << 32), at)
+        bitmap, bits = shared.value
         at = (self.symbol >> U(64 - bits)).astype(np.int64)
         return self.bare | (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
@@ -148,6 +157,33 @@ def _segment(bits: int):
     return run
 
 
+def _asked(window: int, rounds: int, buckets: int):
+    """The occurrences of symbols, dealt by ranges of the symbols."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _text.slices(batch):
+                p = Picks(part.column("text"), window, rounds)
+                on = ~p.bare
+                symbol = p.symbol[on]
+                yield _deal.deal(((symbol >> U(32)) * U(buckets) >> U(32)).astype(np.int32), symbol=symbol, rid=np.asarray(part.column("rid"))[p.doc[on]], number=p.number[on])
+
+    return run
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """The occurrences whose symbol is there more than once, by document."""
+    symbol, rid, number = _deal.gathered(table, symbol=U, rid=np.int64, number=np.int32)
+    _, at, count = np.unique(symbol, return_inverse=True, return_counts=True)
+    on = count[at] > 1
+    rid, number = rid[on], number[on]
+    order = np.argsort(rid, kind="stable")
+    rid, number = rid[order], np.ascontiguousarray(number[order])
+    first = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, np.int64)
+    ends = pa.py_buffer((np.concatenate([first, [len(rid)]]) * 4).astype(np.int32))
+    return pa.table({"rid": rid[first], "entry": pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(number)])})
+
+
 def _windows(window: int, rounds: int, shared, buckets: int):
     """Windows that are let through, by occurrence; of those that repeat within the task only the hash, once."""
 
@@ -182,7 +218,7 @@ def _windows(window: int, rounds: int, shared, buckets: int):
         for batch in batches:
             for part in _text.slices(batch):
                 p = Picks(part.column("text"), window, rounds)
-                on = p.passed(*shared.value)
+                on = p.passed(shared, part)
                 where = np.cumsum(on) - 1
                 w = on[p.of]
                 if not w.any():
@@ -219,7 +255,7 @@ def _kept(window: int, rounds: int, shared):
         for batch in batches:
             for part in _text.slices(batch):
                 p = Picks(part.column("text"), window, rounds)
-                words, on = p.words, p.passed(*shared.value)
+                words, on = p.words, p.passed(shared, part)
                 begins = on[p.of]
                 edge = np.searchsorted(p.doc, np.arange(part.num_rows + 1))
                 start = np.searchsorted(p.of, np.arange(len(on) + 1))
@@ -246,27 +282,43 @@ def _kept(window: int, rounds: int, shared):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_removed (words in windows that occur elsewhere too), kept_sha256 (of the others, joined by one space)."""
-    spark = docs.sparkSession
+    if not 2 <= window <= 64:
+        raise ValueError("window must be 2 to 64 words: an occurrence's windows are marked in 64 bits")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     counts = docs.select("text").mapInArrow(_counts(window, rounds), "sym long, n long, bare long").groupBy("sym").agg(F.sum("n").alias("n"), F.sum("bare").alias("bare"))
     counts = _spark.cut(counts.where("sym is null or n > 1"), "shared")
     kinds, occurrences, bare = counts.agg(F.count("sym"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bare"), F.lit(0))).first()
+    buckets = max(_spark.partitions(docs.sparkSession), math.ceil((occurrences + bare) / FRAGMENT))
+    if kinds * LEAST_BITS_EACH <= MOST_BITS:
+        shared = _bitmap(counts, kinds)
+        docs = docs.withColumn("shared", F.lit(None).cast("binary"))
+    else:
+        shared = None
+        asked = docs.select("rid", "text").mapInArrow(_asked(window, rounds, buckets), _deal.schema("symbol", "rid", "number"))
+        listed = _by_document(asked.groupBy("bucket").applyInArrow(_answered, "rid long, entry binary"), "shared")
+        docs = docs.join(listed, "rid", "left")
+
+    sent = docs.select("rid", "text", "shared").mapInArrow(_windows(window, rounds, shared, buckets), _deal.schema("rid", "number", "mask", "window", "again"))
+    single = _by_document(sent.groupBy("bucket").applyInArrow(_single, "rid long, entry binary"), "single")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rest = docs.join(single, "rid", "left").select("doc_id", "text", "shared", "single")
+    return rest.mapInArrow(_kept(window, rounds, shared), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
+
+def _bitmap(counts: DataFrame, kinds: int):
+    """The shared symbols as a broadcast (bitmap, bits)."""
     bits = max(16, min(MOST_BITS, kinds * BITS_EACH).bit_length() - 1)
     marks = counts.where("sym is not null").select(F.shiftrightunsigned("sym", 64 - bits).alias("bit")).distinct()
     segments = marks.groupBy(F.shiftright("bit", bits - 8).cast("int").alias("segment")).applyInArrow(_segment(bits), "segment int, held binary")
     bitmap = np.zeros(1 << (bits - 3), np.uint8)
     for segment, held in segments.collect():  # 256 rows, MOST_BITS in all at the most
         bitmap[segment << (bits - 11) : (segment + 1) << (bits - 11)] = np.frombuffer(held, np.uint8)
-    shared = spark.sparkContext.broadcast((bitmap, bits))
+    return counts.sparkSession.sparkContext.broadcast((bitmap, bits))
+
 
-    buckets = max(_spark.partitions(spark), math.ceil((occurrences + bare) / FRAGMENT))
-    sent = docs.select("rid", "text").mapInArrow(_windows(window, rounds, shared, buckets), _deal.schema("rid", "number", "mask", "window", "again"))
-    single = sent.groupBy("bucket").applyInArrow(_single, "rid long, entry binary")
+def _by_document(entries: DataFrame, name: str) -> DataFrame:
+    """The entries of each document (rid) as one binary column; to be broadcast if they are few and small."""
     packed = F.unhex(F.array_join(F.transform(F.collect_list("entry"), F.hex), ""))
-    single = _spark.cut(single.groupBy("rid").agg(packed.alias("single")), "single")
-    rows, size = single.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("single")), F.lit(0))).first()
-    single = F.broadcast(single) if rows <= _spark.BROADCAST_IDS and size <= BROADCAST_BYTES else single
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rest = docs.join(single, "rid", "left").select("doc_id", "text", "single")
-    return rest.mapInArrow(_kept(window, rounds, shared), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    out = _spark.cut(entries.groupBy("rid").agg(packed.alias(name)), name)
+    rows, size = out.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0))).first()
+    return F.broadcast(out) if rows <= _spark.BROADCAST_IDS and size <= BROADCAST_BYTES else out
