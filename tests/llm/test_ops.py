@@ -121,6 +121,17 @@ def test_repeats_sent_in_parts(docs, rows, monkeypatch):
     assert sorted(got, key=str) == sorted(brute_repeats(rows), key=str)
 
 
+def test_repeats_without_broadcast(spark, docs, rows, monkeypatch):
+    """No bitmap, no broadcast list: occurrences and single windows meet by shuffles, with the same result."""
+    monkeypatch.setattr(substring_dedup, "MOST_BITS", 0)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(substring_dedup, "FRAGMENT", 100)
+    got = [tuple(r) for r in substring_dedup.remove_repeats(docs).collect()]
+    assert sorted(got, key=str) == sorted(brute_repeats(rows), key=str)
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs, window=65)
+
+
 def test_extents_tell_what_symbols_depend_on():
     """A symbol whose extent lies in a stretch of words is there wherever this stretch stands."""
     r = np.random.default_rng(4)
