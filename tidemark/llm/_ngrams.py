@@ -51,7 +51,10 @@ def even(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int, size: int, features) -> tuple[list, np.ndarray]:
-    """At most rows of labels (doc_id, label), by a hash of doc_id, and what features(texts) makes of their texts. Bounded: rows x size numbers reach the driver."""
+    """At most rows of labels (doc_id, label), by a hash of doc_id, and what features(texts) makes of their texts. Bounded: rows x size numbers reach the driver.
+
+    Of several texts with one doc_id the least counts.
+    """
     few = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     few = F.broadcast(few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
 
@@ -63,7 +66,7 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int, size: int, features)
                 yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(packed, pa.binary())], names=["label", "x"])
 
     kind = labels.schema["label"].dataType.simpleString()
-    found = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
+    found = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     found = found.mapInArrow(run, f"label {kind}, x binary").orderBy("label", F.xxhash64("x")).limit(rows).collect()
     out = np.zeros((len(found), size), np.float32)
     for r, row in zip(out, found, strict=True):

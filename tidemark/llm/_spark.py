@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: More ids than this are joined by a shuffle instead of a broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -38,6 +39,14 @@ def done(*written: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def kept(docs: DataFrame, keep: list[str], outputs: str) -> StructType:
+    """The schema of the columns keep, then outputs (DDL). A kept column must not be named like an output."""
+    new = StructType.fromDDL(outputs)
+    if clash := sorted({c.lower() for c in keep} & {c.lower() for c in new.names}):
+        raise ValueError(f"kept columns have names of outputs: {', '.join(clash)}; rename them, or keep them in a struct")
+    return StructType([docs.schema[c] for c in keep] + new.fields)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -39,7 +39,7 @@ AS_IS = mix(_bytes + U(1))
 LOWER = mix(np.where((_bytes >= 65) & (_bytes <= 90), _bytes + U(32), _bytes) + U(1))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE):
+def slices(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE):
     """The batch in parts of about limit bytes of text, at least a row each."""
     sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), dtype=np.int64)
     part = np.cumsum(sizes) // limit

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _text
+from . import _spark, _text
 
 #: Samples in a row, rows in a frame, hundredths of a second that each frame is shown.
 WIDTH, ROWS, DELAY = 64, 1024, 10
@@ -251,8 +251,7 @@ def store(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], size, pa.array([encode(x) for x in data], pa.binary())], names=[*keep, "n_bytes", "media"])
 
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(data.alias("_text"), F.octet_length(data).cast("long").alias("_n"), *keep).mapInArrow(run, f"{kinds}, n_bytes long, media binary")
+    return docs.select(data.alias("_text"), F.octet_length(data).cast("long").alias("_n"), *keep).mapInArrow(run, _spark.kept(docs, keep, "n_bytes long, media binary"))
 
 
 def read_frames(docs: DataFrame, keep: list[str], media_col: str = "media", grey: bool = False) -> DataFrame:
@@ -275,5 +274,4 @@ def read_frames(docs: DataFrame, keep: list[str], media_col: str = "media", grey
                 lists = pa.ListArray.from_arrays(starts, pa.StructArray.from_arrays([columns[n] for n in order], list(order)))
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], lists], names=[*keep, "frames"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(media_col).alias("_media"), *keep).mapInArrow(run, f"{kinds}, frames {FRAMES}")
+    return docs.select(F.col(media_col).alias("_media"), *keep).mapInArrow(run, _spark.kept(docs, keep, f"frames {FRAMES}"))

@@ -363,11 +363,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (7
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("rid", F.xxhash64("doc_id", "text"))
-    return grouped(docs, k, threshold).drop("rid")
+    return grouped(docs, k, threshold).drop("rid", "group_id")
 
 
 def grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100)) -> DataFrame:
-    """near_duplicates of docs (doc_id, rid, text), where rid tells rows apart that have different texts; with rid."""
+    """near_duplicates of docs (doc_id, rid, text), where rid tells rows apart that have different texts; with rid and
+    group_id, a name of the component of its own, also where rows of several components have one doc_id (null: no shingles)."""
     spark = docs.sparkSession
     sets = _spark.cut(shingle_sets(docs, k), "sets")
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -403,12 +404,14 @@ def grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100))
     joined = _spark.components(pairs.select(F.col("node").alias("a"), F.col("root").alias("b")))
     joined = joined.join(classes.select("node", "least"), "node")
     least = joined.groupBy("root").agg(F.min("least").alias("least"))
-    found = joined.select("node", "root").join(least, "root").select("node", F.col("least").alias("component"))
+    found = joined.select("node", "root").join(least, "root").select("node", "root", F.col("least").alias("component"))
     degree = pairs.groupBy("node").agg(F.sum("links").alias("links"))
     many = classes.join(found, "node", "left").join(degree, "node", "left").where("copies > 1 or component is not null")
-    many = many.select("node", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    many = many.select("node", "root", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     out = sets.join(_spark.cut(many, "many"), "node", "left")
-    return out.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    links = F.coalesce("links", F.lit(0).cast("long")).alias("n_links")
+    group = F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("group_id")
+    return out.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), links, group)
 
 
 def clashes(sets: DataFrame, classes: DataFrame) -> dict[tuple[int, int], int]:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _ngrams, _text
+from . import _ngrams, _spark, _text
 
 #: Labelled rows at most, hashed trigrams.
 SAMPLE, SIZE = 4096, 2048
@@ -128,5 +128,4 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
 
     text = F.col(text_col).cast("string")
     rows = docs.select(text.alias("_text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("_letter"), *keep)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(run, _spark.kept(docs, keep, "lang_pred string, score double"))

@@ -16,8 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
-from . import _text
+from . import _spark, _text
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", *(f"{side}-{kind}" for kind in KINDS for side in "BI"))
@@ -363,8 +364,8 @@ def _parts(batches):
     signal = np.zeros(256, bool)
     signal[48:58] = signal[64] = True
     for batch in batches:
-        for part in _text.slices(batch, "_text"):
-            data, off = _text.buffer(part.column("_text"))
+        for part in _text.slices(batch, 0):
+            data, off = _text.buffer(part.column(0))
             hits = np.concatenate([[0], np.cumsum(signal[data])])
             yield part, np.flatnonzero(hits[off[1:]] > hits[off[:-1]])
 
@@ -377,12 +378,11 @@ def find(docs: DataFrame, field: Field, keep: list[str], text_col: str = "text")
     def run(batches):
         for part, rows in _parts(batches):
             out: list = [[]] * part.num_rows
-            for r, spans in zip(rows, spans_of(part.column("_text").take(pa.array(rows)).to_pylist(), shared.value), strict=True):
+            for r, spans in zip(rows, spans_of(part.column(0).take(pa.array(rows)).to_pylist(), shared.value), strict=True):
                 out[r] = [{"kind": KINDS[k], "start": a, "end": b, "base": base} for k, a, b, base in spans]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, kind)], names=[*keep, "spans"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, f"{kinds}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+    return docs.select(F.col(text_col).cast("string").alias("_text"), *keep).mapInArrow(run, _spark.kept(docs, keep, "spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"))
 
 
 def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
@@ -392,7 +392,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         for part, rows in _parts(batches):
-            texts = part.column("_text").to_pylist()
+            texts = part.column(0).to_pylist()
             for r, spans in zip(rows, spans_of([texts[r] for r in rows], shared.value), strict=True):
                 pieces, at, text = [], 0, texts[r]
                 for a, b, k in sorted((a, -b, k) for k, a, b, _ in spans):
@@ -400,6 +400,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text") -> DataFrame:
                         pieces += [text[at:a], f"<{KINDS[k].upper()}>"]
                     at = max(at, -b)
                 texts[r] = "".join([*pieces, text[at:]])
-            yield pa.RecordBatch.from_arrays([*(pa.array(texts, pa.string()) if c == text_col else part.column(c) for c in names)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *part.columns[1:]], names=order)
 
-    return docs.select(F.col(text_col).alias("_text"), *[c for c in names if c != text_col]).mapInArrow(run, docs.schema)
+    order = [text_col, *(c for c in names if c != text_col)]
+    return docs.select(order).mapInArrow(run, StructType([docs.schema[c] for c in order])).select(names)

@@ -6,7 +6,8 @@ singular vectors (randomised SVD), and the sample's own vectors with their label
 broadcast; each document's exact cosines with all labelled vectors come from blocked matrix products inside tasks.
 
 Defined results: null and empty texts have no vector and get the sample's share of label 1; without any labelled row
-every score is 0.5; ties among neighbours are broken by cosine only, repeated rows score alike; other columns are kept.
+every score is 0.5; labelled vectors whose cosines equal that of the last neighbour all vote; repeated rows score alike; other columns are
+kept and must not be named score.
 """
 
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import _ngrams, _text
+from . import _ngrams, _spark, _text
 
 #: Labelled rows for each label at most, hashed trigrams, latent dimensions, neighbours that vote, power of their cosines.
 SAMPLE, SIZE, RANK, NEIGHBOURS, POWER, REPEAT = 2048, 4096, 64, 15, 4, 4
@@ -49,10 +50,10 @@ class Model:
         for a in range(0, len(counts), 256):
             v = self.embed(counts[a : a + 256])
             cos = v @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, near, 1), 0) ** POWER
+            least = np.partition(cos, len(self.labels) - k, axis=1)[:, len(self.labels) - k, None]
+            w = np.where(cos >= least, np.maximum(cos, 0), 0) ** POWER
             total = w.sum(1)
-            vote = (w * self.labels[near]).sum(1) / np.where(total > 0, total, 1)
+            vote = w @ self.labels / np.where(total > 0, total, 1)
             out[a : a + 256] = np.where(total > 0, vote, self.prior)
         return np.clip(np.round(out, 6), 0, 1)
 
@@ -92,5 +93,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(s, pa.float64())], names=[*keep, "score"])
 
     rows = docs.select(F.col(text_col).cast("string").alias("_text"), *keep)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kinds}, score double")
+    return rows.mapInArrow(run, _spark.kept(docs, keep, "score double"))
