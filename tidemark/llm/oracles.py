@@ -82,20 +82,28 @@ def _shrunk(name: str, groups: str, parent: str, key: str) -> str:
 
 def _urls(rules: list[tuple[str, str, str]]) -> str:
     ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    second = ", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)
+    last = lambda n: f"case when len(a) > {n} then array_to_string(a[len(a) - ({n}) + 1:], '.') else host end"
     best = "".join(f" when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{i}'" for i, (_, h, p) in enumerate(ordered))
     rule = "case" + "".join(f" when k = '{i}' then '{h}{p}'" for i, (_, h, p) in enumerate(ordered)) + " end"
     verdict = "case" + "".join(f" when k = '{i}' then '{v}'" for i, (v, _, _) in enumerate(ordered)) + " end"
     return f"""
 with u as (select page_id, url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{_UP}', '{_LOW}') as host, regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) as path from pages),
 v as (select *, string_split(host, '.') as a from u),
-x as (select page_id, url, host, path, case when len(a) > 2 then a[-2] || '.' || a[-1] else host end as domain, a[-1] as suffix, case{best} end as k from v),
+y as (select *, case when len(a) > 1 and length(a[-1]) = 2 and a[-2] in ({second}) then 2 else 1 end as c from v),
+x as (select page_id, url, host, path, {last("c + 1")} as domain, {last("c")} as suffix, case{best} end as k from y),
 lb as (select doc_id, max(case when quality = 0 or coalesce(toxic, 0) = 1 then 1 else 0 end) as bad from labels where quality is not null group by 1),
-oc as (select x.host, x.domain, x.suffix, lb.bad from x join lb on lb.doc_id = try_cast(regexp_extract(x.url, '://[^/?#]*/[a-z]+/([0-9]{{1,18}})', 1) as bigint)),
+oc as (select x.host, x.domain, x.suffix, lb.bad from x join lb on lb.doc_id = try_cast(regexp_extract(x.path, '^/[a-z]+/([0-9]{{1,18}})(?:/|\\.html)?$', 1) as bigint)),
 h as (select host, domain, suffix, cast(count(*) as double) as n, cast(sum(bad) as double) as bad from oc group by 1, 2, 3),
 top as (select 1 as one, (coalesce(sum(bad), 0.0) + 1) / (coalesce(sum(n), 0.0) + 2) as m from h),{_shrunk("sfx", "select suffix, 1 as one, sum(n) as n, sum(bad) as bad from h group by 1", "top", "one")},{_shrunk("dom", "select domain, suffix, sum(n) as n, sum(bad) as bad from h group by 1, 2", "sfx", "suffix")},{_shrunk("hst", "select host, domain, n, bad from h", "dom", "domain")},
 j as (select x.page_id, x.host, x.path, coalesce(hst.m, dom.m, sfx.m, 0.5) as m, coalesce(hst.size, dom.size, sfx.size, 2.0) as size, x.k
-from x left join hst on hst.host = x.host left join dom on dom.domain = x.domain left join sfx on sfx.suffix = x.suffix)
-select page_id, host, path, {rule} as rule, coalesce({verdict}, case when m - {url_filter.Z} * sqrt(m * (1 - m) / (size + 1)) > {url_filter.LIMIT} then 'block' else 'allow' end) as verdict from j
+from x left join hst on hst.host = x.host left join dom on dom.domain = x.domain left join sfx on sfx.suffix = x.suffix),
+w as (select *, sqrt(m * (1 - m) / (size + 1)) as sd from (select distinct m, size from j where m > {url_filter.LIMIT} and m < 1)),
+e as (select *, greatest(0.0, m - {url_filter.SPAN} * sd) as low, least(1.0, m + {url_filter.SPAN} * sd) as high from w),
+q as (select m, size, low + (high - low) * (k + 0.5) / {url_filter.STEPS} as v from e cross join range({url_filter.STEPS}) r(k)),
+d as (select m, size, v, exp((m * size - 1) * ln(v / m) + ((1 - m) * size - 1) * ln((1 - v) / (1 - m))) as f from q),
+sure as (select m, size, coalesce(sum(f) filter (v > {url_filter.LIMIT}), 0) >= {url_filter.SURE} * sum(f) as sure from d group by 1, 2)
+select page_id, host, path, {rule} as rule, coalesce({verdict}, case when coalesce(sure, j.m >= 1) then 'block' else 'allow' end) as verdict from j left join sure on sure.m = j.m and sure.size = j.size
 """
 
 

@@ -95,9 +95,9 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: a page shows the document whose number its path ends in; it is bad if that one is labelled low or toxic."""
+    """Outcomes: a page shows the document whose number its path (language, number, then / or .html or nothing) ends in; it is bad if that one is labelled low or toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    shown = pages.select(url_filter.split(F.col("url"))[0].alias("host"), F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1).try_cast("long").alias("doc_id"))
+    shown = pages.select(url_filter.split(F.col("url"))[0].alias("host"), F.regexp_extract(url_filter.split(F.col("url"))[1], r"^/[a-z]+/([0-9]{1,18})(?:/|\.html)?$", 1).try_cast("long").alias("doc_id"))
     labels = table(spark, sf_dir, "labels").where("quality is not null").groupBy("doc_id").agg(F.max(((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
     return url_filter.judge(pages, shown.join(labels, "doc_id").select("host", "bad"), RULES).drop("bad_rate")
 

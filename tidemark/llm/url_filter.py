@@ -1,10 +1,12 @@
 """URL filters: host rules first, then an empirical-Bayes reputation of hosts.
 
-Labelled page outcomes (bad or not) are counted by host, registered domain (last two labels) and suffix (last label).
+Labelled page outcomes (bad or not) are counted by host, registered domain and suffix (the last label, or the last two
+where SECOND_LEVEL says so, as in co.uk; a domain has one label more).
 Each level's rate is shrunk to its parent's: (bad + s * parent) / (n + s). The strength s of each level comes from the
 data by moments of the beta-binomial: how much the groups' rates differ beyond what chance alone would do. A page is
-blocked if the lower bound (mean - Z sd) of its host's posterior rate of bad pages passes LIMIT. All of it is counts by
-host and joins by host; hot hosts are summed before any shuffle.
+blocked if its host's rate of bad pages passes LIMIT with a probability of at least SURE, that is if the posterior beta
+distribution's lower quantile passes it. Where hosts differ no more than by chance none is blocked. All of it is counts
+by host and joins by host; hot hosts are summed before any shuffle.
 
 Defined results: a null url, or one without "://", has an empty host and path, fits no rule and gets the prior of the
 empty host; a host that was never labelled gets its domain's posterior; repeated pages are judged alike.
@@ -14,9 +16,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import _spark
 
-Z, LIMIT = 1.645, 0.25
-#: Bounds of the strength of a prior.
-WEAKEST, STRONGEST = 1.0, 1000.0
+LIMIT, SURE = 0.25, 0.95
+#: Bounds of the strength of a prior; steps of the integral of a beta density, over SPAN standard deviations each way.
+WEAKEST, STRONGEST, STEPS, SPAN = 1.0, 1000.0, 400, 10.0
+#: Labels that make a suffix with a country's two letters.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,7 +42,27 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> t
 def levels(host: Column) -> tuple[Column, Column]:
     """Registered domain and suffix of a host."""
     labels = F.split(host, r"\.")
-    return F.when(F.size(labels) > 2, F.concat_ws(".", F.slice(labels, -2, 2))).otherwise(host), F.element_at(labels, -1)
+    size = F.size(labels)
+    parts = F.when((size > 1) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL), 2).otherwise(1)
+    last = lambda n: F.when(size > n, F.concat_ws(".", F.slice(labels, size - n + 1, n))).otherwise(host)
+    return last(parts + 1), last(parts)
+
+
+def bad_for_sure(m: Column, size: Column) -> Column:
+    """Whether a rate with the beta distribution of mean m and size (sum of its parameters) passes LIMIT with probability SURE.
+
+    A mean of LIMIT or less never does. The density is summed at the middles of STEPS steps around the mean.
+    """
+    sd = F.sqrt(m * (1 - m) / (size + 1))
+    low, high = F.greatest(F.lit(0.0), m - SPAN * sd), F.least(F.lit(1.0), m + SPAN * sd)
+    x = lambda k: low + (high - low) * (k + 0.5) / STEPS
+    log = lambda v: (m * size - 1) * F.log(v / m) + ((1 - m) * size - 1) * F.log((1 - v) / (1 - m))
+    sums = F.aggregate(
+        F.sequence(F.lit(0), F.lit(STEPS - 1)), F.struct(F.lit(0.0).alias("all"), F.lit(0.0).alias("over")),
+        lambda s, k: F.struct((s["all"] + F.exp(log(x(k)))).alias("all"), (s["over"] + F.when(x(k) > LIMIT, F.exp(log(x(k)))).otherwise(0.0)).alias("over")),
+        lambda s: s["over"] >= SURE * s["all"],
+    )
+    return F.when((m > LIMIT) & (m < 1), sums).otherwise(m >= 1)
 
 
 def _shrunk(groups: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -53,7 +77,7 @@ def _shrunk(groups: DataFrame, parents: DataFrame, key: str) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """outcomes: host, bad (0 or 1). Posterior means and sizes: by host (host, m, size), domain (domain, m, size), suffix (suffix, m, size)."""
+    """outcomes: host, bad (0 or 1). Posterior means and sizes: by host (host, m, size), domain and suffix alike; and sure (bad_for_sure)."""
     domain, suffix = levels(F.col("host"))
     hosts = _spark.cut(outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad")).select("*", domain.alias("domain"), suffix.alias("suffix")), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
@@ -64,7 +88,8 @@ def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     domains = _spark.cut(_shrunk(domains, suffixes.select("suffix", F.col("m").alias("parent")), "suffix").select("domain", "m", (F.col("n") + F.col("s")).alias("size")), "domains")
     hosts = _shrunk(hosts.select("host", "domain", "n", "bad"), domains.select("domain", F.col("m").alias("parent")), "domain")
-    return hosts.select("host", "m", (F.col("n") + F.col("s")).alias("size")), domains, suffixes
+    hosts = hosts.select("host", "m", (F.col("n") + F.col("s")).alias("size"))
+    return tuple(t.withColumn("sure", bad_for_sure(F.col("m"), F.col("size"))) for t in (hosts, domains, suffixes))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -75,10 +100,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     domain, suffix = levels(F.col("host"))
     rows = rows.select("*", domain.alias("domain"), suffix.alias("suffix"))
     for key, t in (("host", by_host), ("domain", by_domain), ("suffix", by_suffix)):
-        rows = rows.join(t.select(key, F.col("m").alias(f"m_{key}"), F.col("size").alias(f"size_{key}")), key, "left")
-    m = F.coalesce("m_host", "m_domain", "m_suffix", F.lit(0.5))
-    size = F.coalesce("size_host", "size_domain", "size_suffix", F.lit(2.0))
-    bound = m - Z * F.sqrt(m * (1 - m) / (size + 1))
+        rows = rows.join(t.select(key, F.col("m").alias(f"m_{key}"), F.col("sure").alias(f"sure_{key}")), key, "left")
+    m, sure = F.coalesce("m_host", "m_domain", "m_suffix", F.lit(0.5)), F.coalesce("sure_host", "sure_domain", "sure_suffix", F.lit(False))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("by_rule"), bound.alias("bound"), m.alias("bad_rate"))
-    return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("bound") > LIMIT, "block").otherwise("allow")).alias("verdict"), "bad_rate")
+    by_method = F.when(sure, "block").otherwise("allow")
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_method).alias("verdict"), m.alias("bad_rate"))
