@@ -455,3 +455,27 @@ def test_urls(spark):
     assert got[1].rule == "example.org/en/1" and got[2].rule == "org/" and (got[3].host, got[3].path, got[4].host) == ("", "", "")
     assert got[7].rule is None and got[5].verdict == "block" and got[6].verdict == "allow" and got[5].path == ""
     assert len(url_filter.judge(pages, outcomes.limit(0), rules).collect()) == 8
+
+
+def test_levels_and_bound(spark):
+    hosts = [("a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("www.x.org", "x.org", "org"), ("org", "org", "org"), ("", "", ""), ("m.x.de", "x.de", "de")]
+    got = spark.createDataFrame([(h,) for h, *_ in hosts], "host string").select("host", *url_filter.levels(F.col("host"))).collect()
+    assert [tuple(r) for r in got] == hosts
+    # the posterior's lower quantile, against a plain sum over many small steps
+    cases = [(0.3, 50.0), (0.3, 800.0), (0.26, 3000.0), (0.26, 30000.0), (0.9, 3.0), (0.25, 1e6), (0.02, 10.0), (1.0, 5.0), (0.45, 20.0)]
+    x = (np.arange(2_000_000) + 0.5) / 2_000_000
+    want = []
+    for m, n in cases:
+        f = np.exp((m * n - 1) * np.log(x / m) + ((1 - m) * n - 1) * np.log((1 - x) / (1 - m))) if m < 1 else (x > 0.9) * 1.0
+        want.append(bool(f[x > url_filter.LIMIT].sum() >= url_filter.SURE * f.sum()))
+    got = spark.createDataFrame(cases, "m double, size double").select(url_filter.bad_for_sure(F.col("m"), F.col("size"))).collect()
+    assert [r[0] for r in got] == want and any(want) and not all(want)
+
+
+def test_reputation_blocks_bad_hosts_only(spark):
+    """Planted hosts: what the method itself blocks, without any rule."""
+    r = random.Random(4)
+    outcomes = [(f"{'bad' if k < 20 else 'good'}{k}.example.net", int(r.random() < (0.8 if k < 20 else 0.05))) for k in range(200) for _ in range(40)]
+    pages = spark.createDataFrame([(k, f"http://{'bad' if k < 20 else 'good'}{k}.example.net/x") for k in range(200)], "page_id long, url string")
+    got = url_filter.judge(pages, spark.createDataFrame(outcomes, "host string, bad int"), []).collect()
+    assert {x.page_id for x in got if x.verdict == "block"} == set(range(20))
