@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemark.plans import more, queries as q  # noqa: F401  more registers queries of its own
+from tidemark.plans import more, queries as q, rules  # noqa: F401  more and rules register queries of their own
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -44,6 +44,48 @@ def weekday_utc(t: Column) -> Column:
     return F.pmod(day_utc(t) + 3, F.lit(7)).cast("int")
 
 
+def weekday_local(t: Column) -> Column:
+    return weekday_utc(t + LOCAL_SHIFT)
+
+
+def slot_utc(t: Column, minutes: int) -> tuple[Column, Column]:
+    """Start of the slot of that many minutes, and whole minutes since."""
+    start = _floor(t, minutes * 60_000) * (minutes * 60_000)
+    return start, _floor(t - start, 60_000)
+
+
+#: Zones of strict local minutes; the higher timeframe of each one.
+ZONES = ("UTC", "America/New_York", "Europe/London", "Asia/Tokyo")
+HIGHER = {"1m": "1h", "5m": "1h", "15m": "1h", "1h": "4h", "4h": "1d"}
+
+
+def local_minute(date: Column, zone: str, minute: Column) -> tuple[Column, Column]:
+    """(epoch ms, status) of a minute of the local day: ok, invalid, nonexistent (skipped by the clock) or ambiguous (there twice).
+
+    Only for ZONES and the years 2000 to 2099; the time is null unless the status is ok.
+    """
+    if zone not in ZONES:
+        raise ValueError(f"no strict local minutes for {zone}")
+    wall = F.date_trunc("minute", date.cast("date").cast("timestamp_ntz")) + F.make_dt_interval(mins=minute.cast("int"))
+    wall = wall.cast("timestamp_ntz")
+    at = F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+    back = lambda hours: F.convert_timezone(F.lit("UTC"), F.lit(zone), at + F.make_dt_interval(hours=F.lit(hours))) == wall
+    known = date.isNotNull() & F.year(date).between(2000, 2099) & minute.between(0, 1439)
+    status = F.when(~F.coalesce(known, F.lit(False)), "invalid").when(~back(0), "nonexistent").when(back(1) | back(-1), "ambiguous").otherwise("ok")
+    ms = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), at)
+    return F.when(status == "ok", ms), status
+
+
+def higher_timeframe(tf: Column, requested: Column | None = None) -> Column:
+    """The timeframe above; requested: auto (as null or empty), none, or one by name. Null for none and for the chart's own."""
+    own = F.lower(F.trim(tf))
+    auto = F.create_map(*[F.lit(x) for pair in HIGHER.items() for x in pair])[own]
+    if requested is None:
+        return auto
+    value = F.lower(F.trim(F.coalesce(requested, F.lit(""))))
+    return F.when(value.isin("", "auto"), auto).when((value != "none") & (value != own), value)
+
+
 def hour_new_york(t: Column) -> Column:
     """Hour of the day in New York, with its daylight-saving rules."""
     return F.hour(F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.timestamp_millis(t).cast("timestamp_ntz")))

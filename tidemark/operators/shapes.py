@@ -11,13 +11,15 @@ NEVER = Window.unboundedPreceding
 
 
 def candles(bars: DataFrame) -> DataFrame:
-    """Booleans bull_pin, bear_pin, bull_engulf, bear_engulf, outside; where the close lies in the bar (0 to 1)."""
+    """Booleans bull_pin, bear_pin, bull_engulf, bear_engulf, outside; where the close lies in the bar (0 to 1; 0.5 in a flat one)."""
     span = F.col("h") - F.col("l")
     top, bottom = F.greatest("o", "c"), F.least("o", "c")
     po, pc, ph, pl = lag("o"), lag("c"), lag("h"), lag("l")
-    out = bars.withColumn("close_location", F.when(span > 0, (F.col("c") - F.col("l")) / span))
-    out = out.withColumn("bull_pin", (span > 0) & (bottom - F.col("l") >= 0.5 * span) & (F.col("close_location") >= 0.6))
-    out = out.withColumn("bear_pin", (span > 0) & (F.col("h") - top >= 0.5 * span) & (F.col("close_location") <= 0.4))
+    body, low, high = F.abs(F.col("c") - F.col("o")), bottom - F.col("l"), F.col("h") - top
+    wide = F.greatest(F.lit(0.00001), span)
+    pin = lambda tail, other: (tail >= 0.45 * wide) & (tail >= 1.5 * body) & (other <= 0.35 * wide)
+    out = bars.withColumn("close_location", F.when(span > 0, (F.col("c") - F.col("l")) / span).otherwise(0.5))
+    out = out.withColumn("bull_pin", pin(low, high) & (F.col("c") >= F.col("o"))).withColumn("bear_pin", pin(high, low) & (F.col("c") <= F.col("o")))
     yes = lambda x: F.coalesce(x, F.lit(False))
     out = out.withColumn("bull_engulf", yes((F.col("c") > F.col("o")) & (pc < po) & (F.col("c") >= po) & (F.col("o") <= pc)))
     out = out.withColumn("bear_engulf", yes((F.col("c") < F.col("o")) & (pc > po) & (F.col("c") <= po) & (F.col("o") >= pc)))

@@ -301,10 +301,10 @@ def _quotes(spark, sf_dir):
     return q.groupBy("symbol", "t_ms").agg(F.max("mid").alias("mid"))
 
 
-CANDLES = f"q as (select *, lag(o) over {ALL} as po, lag(c) over {ALL} as pc, lag(h) over {ALL} as ph, lag(l) over {ALL} as pl, h - l as span from b), cd as (select *, case when span > 0 then (c - l) / span end as close_location from q)"
+CANDLES = f"q as (select *, lag(o) over {ALL} as po, lag(c) over {ALL} as pc, lag(h) over {ALL} as ph, lag(l) over {ALL} as pl, h - l as span from b), cd as (select *, case when span > 0 then (c - l) / span else 0.5 end as close_location, abs(c - o) as body, least(o, c) - l as lower, h - greatest(o, c) as upper, greatest(0.00001, span) as wide from q)"
 
 
-@query(f"with b as ({BARS}), {CANDLES} select symbol, t_ms, round(close_location, 6) as close_location, coalesce(span > 0 and least(o, c) - l >= 0.5 * span and close_location >= 0.6, false) as bull_pin, coalesce(span > 0 and h - greatest(o, c) >= 0.5 * span and close_location <= 0.4, false) as bear_pin, coalesce(c > o and pc < po and c >= po and o <= pc, false) as bull_engulf, coalesce(c < o and pc > po and c <= po and o >= pc, false) as bear_engulf, coalesce(h > ph and l < pl, false) as outside from cd")
+@query(f"with b as ({BARS}), {CANDLES} select symbol, t_ms, round(close_location, 6) as close_location, lower >= 0.45 * wide and lower >= 1.5 * body and upper <= 0.35 * wide and c >= o as bull_pin, upper >= 0.45 * wide and upper >= 1.5 * body and lower <= 0.35 * wide and c <= o as bear_pin, coalesce(c > o and pc < po and c >= po and o <= pc, false) as bull_engulf, coalesce(c < o and pc > po and c <= po and o >= pc, false) as bear_engulf, coalesce(h > ph and l < pl, false) as outside from cd")
 def candle_patterns(spark, sf_dir):
     return rounded(shapes.candles(events(spark, sf_dir)), "symbol", "t_ms", "close_location", "bull_pin", "bear_pin", "bull_engulf", "bear_engulf", "outside")
 
@@ -433,7 +433,7 @@ def vwap_fade_signals(spark, sf_dir):
 
 
 def _family(name: str, make):
-    """Registers a family whose rule is tested against brute force: symbol, t_ms, side."""
+    """Registers a family without SQL: symbol, t_ms, side."""
 
     def run(spark, sf_dir):
         return _found(make(ind.atr(src.event_bars(spark, sf_dir, HOUR))))
