@@ -167,22 +167,30 @@ def volume_exhaustion(bars: DataFrame, ratio: float = 1.5) -> DataFrame:
     return bars.withColumn("side", _side(loud & (F.col("close_location") >= 0.7) & (F.col("c") < lag("c", 3)), loud & (F.col("close_location") <= 0.3) & (F.col("c") > lag("c", 3))))
 
 
-def counter_nine(bars: DataFrame) -> DataFrame:
-    """Needs counter: the ninth bar of a count, whose low (high) is under (over) those of bars six and seven."""
+def counter_nine(bars: DataFrame, count: int = 9) -> DataFrame:
+    """Needs counter: the ninth bar (or `count`) of a count, whose low (high) is under (over) those of the second and third bar before."""
     low, high = F.least(lag("l", 2), lag("l", 3)), F.greatest(lag("h", 2), lag("h", 3))
-    return bars.withColumn("side", _side((F.col("counter") == -9) & (F.col("l") <= low), (F.col("counter") == 9) & (F.col("h") >= high)))
-
-
-def double_extreme(bars: DataFrame, tolerance: float = 0.3) -> DataFrame:
-    """Needs swings, atr: two confirmed swings near each other, and a first close beyond the opposite one between them."""
-    both = series().rowsBetween(Window.unboundedPreceding, 0)
-    out = bars.withColumn("_hs", F.collect_list("swing_high").over(series().rowsBetween(-60, 0))).withColumn("_ls", F.collect_list("swing_low").over(series().rowsBetween(-60, 0)))
-    top = (F.size("_hs") >= 2) & (F.abs(F.try_element_at("_hs", F.lit(-1)) - F.try_element_at("_hs", F.lit(-2))) <= tolerance * F.col("atr"))
-    bottom = (F.size("_ls") >= 2) & (F.abs(F.try_element_at("_ls", F.lit(-1)) - F.try_element_at("_ls", F.lit(-2))) <= tolerance * F.col("atr"))
-    out = out.withColumn("_lh", F.last("swing_high", True).over(both)).withColumn("_ll", F.last("swing_low", True).over(both)).withColumn("_pc", lag("c"))
-    long = bottom & (F.col("c") > F.col("_lh")) & (F.col("_pc") <= F.col("_lh"))
-    short = top & (F.col("c") < F.col("_ll")) & (F.col("_pc") >= F.col("_ll"))
-    return out.withColumn("side", _side(long, short)).drop("_hs", "_ls", "_lh", "_ll", "_pc")
+    return bars.withColumn("side", _side((F.col("counter") == -count) & (F.col("l") <= low), (F.col("counter") == count) & (F.col("h") >= high)))
+
+
+def double_extreme(bars: DataFrame, tolerance: float = 0.3, apart: int = 72, within: int = 12, k: int = 3) -> DataFrame:
+    """Needs swings of k bars, atr: two swings in a row near each other (tolerance ATRs), at most `apart` bars apart, and
+    at most `within` bars after the second one is known the first close beyond the neck, the opposite extreme between them."""
+    so_far, before = series().rowsBetween(Window.unboundedPreceding, 0), series().rowsBetween(Window.unboundedPreceding, -1)
+    out = bars.withColumn("_k", F.row_number().over(series())).withColumn("_pc", lag("c"))
+    hits = {}
+    for name, swing, other, neck in (("short", "swing_high", "l", F.array_min), ("long", "swing_low", "h", F.array_max)):
+        out = out.withColumn("_s", F.when(F.col(swing).isNotNull(), F.struct(F.col("_k").alias("k"), F.col(swing).alias("p")))).withColumn("_q", F.last("_s", ignorenulls=True).over(before))
+        out = out.withColumn("_gap", F.col("_s.k") - F.col("_q.k")).withColumn("_x", F.collect_list(other).over(series().rowsBetween(-apart - k, 0)))
+        between = F.slice("_x", F.greatest(F.size("_x") - k - F.col("_gap"), F.lit(1)), F.col("_gap") + 1)
+        pair = F.struct(F.col("_s.k").alias("k"), F.abs(F.col("_s.p") - F.col("_q.p")).alias("d"), F.when(F.col("_gap") <= apart, neck(between)).alias("neck"))
+        out = out.withColumn("_p", F.last(F.when(F.col("_gap").isNotNull(), pair), ignorenulls=True).over(so_far))
+        ready = (F.col("_p.d") <= tolerance * F.col("atr")) & (F.col("_k") - F.col("_p.k") <= within)
+        level = F.col("_p.neck")
+        broken = (F.col("c") < level) & (F.col("_pc") >= level) if name == "short" else (F.col("c") > level) & (F.col("_pc") <= level)
+        out = out.withColumn(f"_{name}", ready & broken)
+        hits[name] = F.col(f"_{name}")
+    return out.withColumn("side", _side(hits["long"], hits["short"])).drop("_k", "_pc", "_s", "_q", "_gap", "_x", "_p", "_long", "_short")
 
 
 def weekend_fade(bars: DataFrame) -> DataFrame:

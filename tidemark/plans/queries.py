@@ -441,7 +441,7 @@ def _family(name: str, make):
     QUERIES[name] = run
 
 
-_family("break_retest_signals", lambda b: signals.break_retest(levels.day_context(b), "pd_h", "pd_l"))
+_family("break_retest_signals", lambda b: signals.break_retest(levels.day_context(b), "pd_h", "pd_l", 0.3, 0.5))
 _family("session_hold_signals", lambda b: signals.hold_beyond(levels.prior_session(b, "asia"), "asia_h", "asia_l", 2))
 _family("channel_hold_signals", lambda b: signals.hold_beyond(shapes.channels(ind.indexed(b)).withColumn("_rh", ind.lag("rail_high")).withColumn("_rl", ind.lag("rail_low")), "_rh", "_rl", 1))
 _family("day_open_reclaim_signals", lambda b: signals.day_open_reclaim(levels.day_context(b)))
@@ -449,9 +449,9 @@ _family("trend_pullback_signals", lambda b: signals.trend_pullback(ind.ema(shape
 _family("fib_signals", lambda b: signals.fib_continuation(b))
 _family("flag_signals", lambda b: signals.flag_continuation(b))
 _family("keltner_reversion_signals", lambda b: signals.keltner_reversion(ind.keltner(b)))
-_family("keltner_expansion_signals", lambda b: signals.keltner_expansion(ind.keltner(b)))
+_family("keltner_expansion_signals", lambda b: signals.keltner_expansion(ind.keltner(b, k=0.8)))
 _family("volume_exhaustion_signals", lambda b: signals.volume_exhaustion(shapes.candles(ind.volume_stats(b))))
-_family("counter_nine_signals", lambda b: signals.counter_nine(ind.setup_counter(b)))
+_family("counter_nine_signals", lambda b: signals.counter_nine(ind.setup_counter(b), 3))
 _family("double_extreme_signals", lambda b: signals.double_extreme(shapes.swings(b)))
 _family("weekend_fade_signals", lambda b: signals.weekend_fade(b))
 _family("down_shock_signals", lambda b: signals.down_shock(b))

@@ -6,7 +6,7 @@ from ..functions import clock, indicators as ind
 from ..operators import asof, gates, levels, shapes, signals
 from ..sources import bars as src
 from .more import hourly
-from .queries import ALL, ATR, BARS, CANDLES, DAY, DAYS, ER, H1, HOUR, _EVENTS, _found, events, frame, query, rounded
+from .queries import ALL, ATR, BARS, CANDLES, DAY, DAYS, ER, H1, HOUR, SQL, W, _EVENTS, _found, _reduced, events, frame, query, rounded
 
 PAST = "(partition by symbol order by t_ms rows between unbounded preceding and 1 preceding)"
 UPTO = "(partition by symbol order by t_ms rows between unbounded preceding and current row)"
@@ -248,3 +248,87 @@ select symbol, t_ms, case when c2 > o2 then 'short' else 'long' end as side from
   (c2 > o2 and c1 > o1 and c1 - o2 >= 0.2 * atr and h > greatest(h2, h1) and loc <= 0.6) or (c2 < o2 and c1 < o1 and o2 - c1 >= 0.2 * atr and l < least(l2, l1) and case when h > l then (h - c) / (h - l) else 0.5 end <= 0.6))""")
 def hour_run_signals(spark, sf_dir):
     return _found(gates.hour_run_exhaustion(ind.atr(hourly(spark, sf_dir)), HOUR, 4, 2, 0.2, 0.6))
+
+
+# SQL of families that are registered without any: hourly bars b, with ATR a; each gives symbol, t_ms, side.
+
+
+def _family(name: str, ctes: str, long: str, short: str, atr: bool = True, first: str = "long") -> None:
+    """CTEs of which the last is x, and when a side holds; `first` wins where both do."""
+    one, two = (f"when {long} then 'long'", f"when {short} then 'short'")
+    cases = f"{one} {two}" if first == "long" else f"{two} {one}"
+    SQL[name] = f"with b as ({H1}), {ATR + ', ' if atr else ''}{ctes}, s as (select symbol, t_ms, case {cases} end as side from x)\nselect symbol, t_ms, side from s where side is not null"
+
+
+def _emas(*lengths: int) -> str:
+    return "pre as (select *, list(c) over {all} as cs from {src}), em as (select *, {emas} from pre)".replace("{all}", ALL).replace("{emas}", ", ".join(f"{_reduced('cs', f'a + (2.0 / {n + 1}) * (x - a)')} as e{n}" for n in lengths))
+
+
+def _swung(k: int) -> str:
+    around = lambda f, c, a, b: f"{f}({c}) over (partition by symbol order by t_ms rows between {a} and {b})"
+    side = lambda f, c: f"case when {around('count', '*', f'{k} preceding', f'{k} following')} = {2 * k + 1} and {c} {'>' if f == 'max' else '<'} {around(f, c, f'{k} preceding', '1 preceding')} and {c} {'>' if f == 'max' else '<'} {around(f, c, '1 following', f'{k} following')} then {c} end"
+    return f"w1 as (select *, {side('max', 'h')} as ph, {side('min', 'l')} as pl from a), w2 as (select *, lag(ph, {k}) over {ALL} as sh, lag(pl, {k}) over {ALL} as sl, row_number() over {ALL} as k, lag(c) over {ALL} as c1 from w1)"
+
+
+_day = f"{DAYS}, f as (select a.*, d.pd_h, d.pd_l from a left join d on d.symbol = a.symbol and d.day = a.t_ms // {DAY})"
+_family("break_retest_signals", f"{_day}, x as (select *, max(h) over {frame(12, 1)} as mh, min(l) over {frame(12, 1)} as ml from f)",
+        "mh >= pd_h + 0.3 * atr and abs(l - pd_h) <= 0.5 * atr and c > pd_h", "ml <= pd_l - 0.3 * atr and abs(h - pd_l) <= 0.5 * atr and c < pd_l")
+
+_within = f"(partition by symbol, t_ms // {DAY} order by t_ms rows between 4 preceding and current row)"
+_family("day_open_reclaim_signals", f"x as (select *, first(o) over {W} as op, max(h) over {_within} as mh, min(l) over {_within} as ml, lag(c) over (partition by symbol, t_ms // {DAY} order by t_ms) as c1 from a)",
+        "op - ml >= atr and c1 <= op and c > op", "mh - op >= atr and c1 >= op and c < op")
+
+_family("fib_signals", f"x as (select *, max(h) over {frame(12, 1)} as mh, min(l) over {frame(12, 1)} as ml, arg_max(t_ms, h) over {frame(12, 1)} as th, arg_min(t_ms, l) over {frame(12, 1)} as tl from a)",
+        "mh - ml >= 2.0 * atr and th > tl and (mh - l) / (mh - ml) between 0.5 and 0.618 and c > o", "mh - ml >= 2.0 * atr and th < tl and (h - ml) / (mh - ml) between 0.5 and 0.618 and c < o")
+
+_week = f"(t_ms // {DAY} + 3) // 7"
+_family("weekend_fade_signals", f"""
+y as (select *, {_week} as week, (t_ms // {DAY} + 3) % 7 as wd, row_number() over (partition by symbol, {_week} order by t_ms) as k from b),
+e as (select symbol, week + 1 as week, max(h) as eh, min(l) as el, arg_max(c, t_ms) as ec from y where wd >= 5 group by 1, 2),
+x as (select y.symbol, y.t_ms, (ec - el) / (eh - el) as at_ from y join e on e.symbol = y.symbol and e.week = y.week where k = 1 and wd = 0)""", "at_ <= 0.2", "at_ >= 0.8", atr=False)
+
+_family("down_shock_signals", f"y as (select *, ln(c / lag(c) over {ALL}) as r from b), x as (select *, quantile_cont(abs(r), 0.5) over {frame(20, 1)} as m, count(r) over {frame(20, 1)} as n from y)",
+        "n = 20 and r <= -2.0 * 1.4826 * m", "false", atr=False)
+
+_loud = f"x as (select *, case when h > l then (c - l) / (h - l) else 0.5 end as loc, lag(c, 3) over {ALL} as c3, case when count(*) over {frame(20, 1)} = 20 and avg(v) over {frame(20, 1)} > 0 then v / avg(v) over {frame(20, 1)} end as vr from b)"
+_family("volume_exhaustion_signals", _loud, "vr >= 1.5 and loc >= 0.7 and c < c3", "vr >= 1.5 and loc <= 0.3 and c > c3", atr=False)
+
+_counter = f"n0 as (select *, coalesce(cast(sign(c - lag(c, 4) over {ALL}) as integer), 0) as sg from b), n1 as (select *, case when sg != coalesce(lag(sg) over {ALL}, 0) then 1 else 0 end as new from n0), n2 as (select *, sum(new) over {ALL} as run from n1), n3 as (select *, row_number() over (partition by symbol, run order by t_ms) * sg as counter from n2)"
+_family("counter_nine_signals", f"{_counter}, x as (select *, least(lag(l, 2) over {ALL}, lag(l, 3) over {ALL}) as lo, greatest(lag(h, 2) over {ALL}, lag(h, 3) over {ALL}) as hi from n3)",
+        "counter = -3 and l <= lo", "counter = 3 and h >= hi", atr=False)
+
+_family("session_hold_signals", f"""
+r as (select symbol, (t_ms // {DAY}) * {DAY} + {8 * HOUR} as done, max(h) as ah, min(l) as al from b where t_ms % {DAY} < {8 * HOUR} group by 1, 2),
+j as (select b.*, coalesce(c > ah, false)::int as u, coalesce(c < al, false)::int as d from b asof left join r on r.symbol = b.symbol and b.t_ms >= r.done),
+x as (select *, u + lag(u) over {ALL} as su, d + lag(d) over {ALL} as sd, coalesce(lag(u, 2) over {ALL}, 0) as u2, coalesce(lag(d, 2) over {ALL}, 0) as d2 from j)""", "su = 2 and u2 = 0", "sd = 2 and d2 = 0", atr=False)
+
+_keltner = _emas(20).replace("{src}", "a") + ", kc as (select *, case when i >= 40 then e20 end as mid, {k} * atr as band from em)"
+_family("keltner_reversion_signals", f"{_keltner.replace('{k}', '1.5')}, x as (select * from kc)", "l < mid - band and c > mid - band", "h > mid + band and c < mid + band")
+_family("keltner_expansion_signals", f"{_keltner.replace('{k}', '0.8')}, y as (select *, c > mid + band as u, c < mid - band as d from kc), x as (select *, lag(u) over {ALL} as u1, lag(d) over {ALL} as d1 from y)", "u and u1", "d and d1")
+
+_family("dual_ema_signals", _emas(5, 20).replace("{src}", "b") + f", x as (select *, lag(c < e5) over {ALL} as was, e5 > lag(e5) over {ALL} as rise from em)", "e5 > e20 and rise and was and c > e5", "false", atr=False)
+_family("ema_ribbon_signals", _emas(5, 10, 20).replace("{src}", "b") + f", y as (select *, case when e5 > e10 and e10 > e20 then 1 when e5 < e10 and e10 < e20 then -1 else 0 end as rb from em), x as (select *, lag(rb) over {ALL} as rp from y)",
+        "rb = 1 and rp != 1", "rb = -1 and rp != -1", atr=False)
+_trend = f"{ER}, m as (select *, case when er >= 0.4 then 1 when er < 0.4 then 0 end as m from er), " + _emas(10).replace("{src}", "m")
+_family("trend_pullback_signals", f"{_trend}, x as (select *, coalesce(last_value(m ignore nulls) over {UPTO}, 0) = 1 as trending, e10 > lag(e10, 3) over {ALL} as rise from em)",
+        "trending and rise and l <= e10 and c > e10", "trending and not rise and h >= e10 and c < e10", atr=False)
+_family("triple_screen_signals", _emas(10).replace("{src}", "b") + f""",
+dy as (select symbol, (t_ms // {DAY}) * {DAY} + {DAY} as done, cast(sign(arg_max(c, t_ms) - arg_min(o, t_ms)) as integer) as tr from b group by 1, 2),
+j as (select em.*, case when em.t_ms + {HOUR} - done <= {DAY} then tr end as ht from em asof left join dy on dy.symbol = em.symbol and em.t_ms + {HOUR} >= dy.done),
+x as (select *, e10 > lag(e10) over {ALL} as up, lag(h) over {ALL} as h1, lag(l) over {ALL} as l1 from j)""", "ht > 0 and up and l <= e10 and c > h1", "ht < 0 and not up and h >= e10 and c < l1", atr=False)
+
+_last3 = "(partition by symbol order by t_ms rows between 120 preceding and current row)"
+_steps = lambda c, way: f"({way} * ({c}[-2] - {c}[-3]) > 0 and {way} * ({c}[-1] - {c}[-2]) > 0 and {way} * ({c}[-1] - {c}[-2]) < {way} * ({c}[-2] - {c}[-3]))"
+_family("triple_push_signals", _swung(2) + f", y as (select *, list(sh) over {_last3} as hs0, list(sl) over {_last3} as ls0 from w2), x as (select *, list_filter(hs0, lambda v: v is not null) as hs, list_filter(ls0, lambda v: v is not null) as ls from y)",
+        f"sl is not null and {_steps('ls', -1)}", f"sh is not null and {_steps('hs', 1)}", first="short")
+
+
+def _pairs(side: str, swing: str, other: str, neck: str) -> str:
+    return f"""
+{side}1 as (select *, last_value(case when {swing} is not null then k end ignore nulls) over {PAST} as {side}pk, last_value({swing} ignore nulls) over {PAST} as {side}pp, list({other}) over (partition by symbol order by t_ms rows between 75 preceding and current row) as {side}xs from {{src}}),
+{side}2 as (select *, case when {swing} is not null and {side}pk is not null then {{'k': k, 'd': abs({swing} - {side}pp), 'neck': case when k - {side}pk <= 72 then {neck}({side}xs[len({side}xs) - 3 - (k - {side}pk) : len({side}xs) - 3]) end}} end as {side}n from {side}1),
+{side}3 as (select *, last_value({side}n ignore nulls) over {UPTO} as {side}p from {side}2)"""
+
+
+_family("double_extreme_signals", _swung(3) + "," + _pairs("top", "sh", "l", "list_min").replace("{src}", "w2") + "," + _pairs("low", "sl", "h", "list_max").replace("{src}", "top3") + ", x as (select * from low3)",
+        "lowp.d <= 0.3 * atr and k - lowp.k <= 12 and c > lowp.neck and c1 <= lowp.neck", "topp.d <= 0.3 * atr and k - topp.k <= 12 and c < topp.neck and c1 >= topp.neck")
