@@ -44,6 +44,22 @@ def quote_after(submits: DataFrame, quotes: DataFrame, deadline: int) -> DataFra
     return asof(submits, quotes.withColumn("quote_ms", F.col("t_ms")), ["symbol"], "t_ms", "t_ms", ["quote_ms", "mid"], max_age=deadline, forward=True)
 
 
+def known_before(decisions: DataFrame, quotes: DataFrame, max_age: int) -> DataFrame:
+    """quote_before where a quote is known only from its available_ms on: the newest known strictly before; its age counts from its own time (t_ms)."""
+    q = quotes.select("symbol", "available_ms", F.col("t_ms").alias("quote_ms"), "mid")
+    out = asof(decisions, q, ["symbol"], "t_ms", "available_ms", ["quote_ms", "mid"], strict=True)
+    fresh = F.col("t_ms") - F.col("quote_ms") <= max_age
+    return out.withColumn("mid", F.when(fresh, F.col("mid"))).withColumn("quote_ms", F.when(fresh, F.col("quote_ms")))
+
+
+def known_after(submits: DataFrame, quotes: DataFrame, deadline: int, freshness: int) -> DataFrame:
+    """The first quote that becomes known at or after, within deadline; null if it was older than freshness by then."""
+    q = quotes.select("symbol", "available_ms", F.col("t_ms").alias("quote_ms"), "mid", (F.col("available_ms") - F.col("t_ms")).alias("_late"))
+    out = asof(submits, q, ["symbol"], "t_ms", "available_ms", ["quote_ms", "mid", "_late"], max_age=deadline, forward=True)
+    fresh = F.col("_late") <= freshness
+    return out.withColumn("mid", F.when(fresh, F.col("mid"))).withColumn("quote_ms", F.when(fresh, F.col("quote_ms"))).drop("_late")
+
+
 def project(chart: DataFrame, source: DataFrame, width: int, source_width: int, columns: list[str]) -> DataFrame:
     """Context of the latest closed source bar on each chart bar; null if that bar does not end where its successor should begin (a hole fails closed)."""
     s = source.withColumn("src_close", F.col("t_ms") + source_width)

@@ -572,12 +572,6 @@ def wilson_interval(spark, sf_dir):
     return rounded(x.select("label", low.alias("low"), high.alias("high")), "label", "low", "high")
 
 
-@query()
-def monte_carlo(spark, sf_dir):
-    rows = report.resample_trades(priced(spark, sf_dir).where("label = 'realistic'"), 2000, 7)
-    return rounded(report.ranked(rows.withColumn("run", F.lit("realistic")), ["run"], "bootstrap_net", [0.05, 0.5, 0.95]), "run", "q_5", "q_50", "q_95")
-
-
 @query(f"with b as ({BARS}), x as (select symbol, t_ms, t_ms - lag(t_ms) over {ALL} as gap from b) select symbol, min(gap) as step_ms, cast(sum(case when gap > {4 * HOUR} then 1 else 0 end) as bigint) as n_gaps from x group by 1")
 def bar_gaps(spark, sf_dir):
     b = events(spark, sf_dir).withColumn("gap", F.col("t_ms") - F.lag("t_ms").over(Window.partitionBy("symbol").orderBy("t_ms")))

@@ -1,19 +1,49 @@
 """Summaries of trades: cost rows, groupings, holdout, drawdown, Monte Carlo, quantiles and overfit checks."""
 
-import numpy as np
+import math
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import clock
 
 START = 10_000.0
+#: Milliseconds of a block of trades that one task puts in order.
+BLOCK = 30 * clock.DAY
+
+
+def _blocks(trades: DataFrame) -> Column:
+    """Blocks of time in which trades are put in order apart."""
+    return F.floor(F.col("entry_t") / BLOCK).alias("_block")
 
 
 def equity(trades: DataFrame, by: list[str], start: float = START) -> DataFrame:
-    """trades with equity and its peak so far (start included), by entry_t, then symbol and entry_i."""
-    w = Window.partitionBy(*by).orderBy("entry_t", "symbol", "entry_i").rowsBetween(Window.unboundedPreceding, 0)
-    out = trades.withColumn("equity", start + F.sum("pnl").over(w))
-    return out.withColumn("peak", F.greatest(F.lit(start), F.max("equity").over(w)))
+    """trades with equity and its peak so far (start included), by entry_t, then symbol and entry_i.
+
+    Each block of time is summed apart and the blocks' sums and peaks are carried along, a row for each block, so that
+    one label's trades are spread over tasks.
+    """
+    trades = trades.withColumn("_block", _blocks(trades))
+    w = Window.partitionBy(*by, "_block").orderBy("entry_t", "symbol", "entry_i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = trades.withColumn("_sum", F.sum("pnl").over(w)).withColumn("_top", F.max("_sum").over(w))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*by, "_block").agg(F.sum("pnl").alias("_all"), F.max("_top").alias("_most"))
+    ends = ends.withColumn("_base", F.lit(start) + F.coalesce(F.sum("_all").over(before), F.lit(0.0)))
+    ends = ends.withColumn("_peak0", F.greatest(F.lit(start), F.max(F.col("_base") + F.col("_most")).over(before))).select(*[F.col(c).alias(f"_of_{c}") for c in (*by, "_block")], "_base", "_peak0")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*by, "_block")])
+    own = [c for c in trades.columns if c != "_block"]
+    return rows.join(ends, same).select(*own, (F.col("_base") + F.col("_sum")).alias("equity"), F.greatest("_peak0", F.col("_base") + F.col("_top")).alias("peak"))
+
+
+def numbered(trades: DataFrame) -> DataFrame:
+    """trades with number, from 0 by entry_t, symbol and entry_i: by blocks of time, so that no task holds them all."""
+    rows = trades.withColumn("_block", _blocks(trades))
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_block").orderBy("entry_t", "symbol", "entry_i")) - 1)
+    sizes = rows.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return rows.join(sizes, "_block").withColumn("number", F.col("_first") + F.col("_k")).drop("_block", "_k", "_first")
 
 
 def cost_rows(trades: DataFrame, by: list[str], start: float = START) -> DataFrame:
@@ -77,33 +107,31 @@ def wilson(wins: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
 
 
-def resample_trades(trades: DataFrame, iterations: int, seed: int, start: float = START, most: int = 1_000_000) -> DataFrame:
-    """Per iteration: drawdown of the trades in a random order (order_dd), and drawdown and net of as many drawn with replacement.
-
-    The pnl list (most values at the most, else an error) goes to every task; iterations are spread, each with a
-    generator of its own, so a lost task repeats the same draws.
-    """
-    rows = trades.select("pnl").where("pnl is not null").orderBy("pnl").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} trades")
-    spark = trades.sparkSession
-    pnl = spark.sparkContext.broadcast(np.array([r[0] for r in rows], float))
+def bits(iteration: Column, k: Column, seed: int) -> Column:
+    """The first 32 bits of an MD5: the same in any engine, and in a repeated task."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), iteration.cast("string"), k.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
-    def fall(x: np.ndarray) -> float:
-        e = start + np.concatenate([[0.0], np.cumsum(x)])
-        top = np.maximum.accumulate(e)
-        return float(((top - e) / top).max())
 
-    def run(frames):
-        for f in frames:
-            out = []
-            for i in f["id"]:
-                r = np.random.default_rng([seed, int(i)])
-                drawn = r.choice(pnl.value, len(pnl.value)) if len(pnl.value) else pnl.value
-                out.append((int(i), fall(r.permutation(pnl.value)), fall(drawn), float(drawn.sum())))
-            yield pd.DataFrame(out, columns=["iteration", "order_dd", "bootstrap_dd", "bootstrap_net"])
+def resample_trades(trades: DataFrame, iterations: int, seed: int, start: float = START) -> DataFrame:
+    """Per iteration: drawdown of the trades in a random order (order_dd), and drawdown and net of as many drawn with replacement.
 
-    return spark.range(iterations).mapInPandas(run, "iteration long, order_dd double, bootstrap_dd double, bootstrap_net double")
+    Draws are rows (iteration, k) that meet the trades by number, so nothing passes through the driver. An iteration's
+    path is one ordered window; iterations are spread over tasks.
+    """
+    t = numbered(trades.where("pnl is not null")).select("number", "pnl")
+    n = t.agg(F.count("*").alias("n"))
+    runs = trades.sparkSession.range(iterations).select(F.col("id").alias("iteration"))
+    drawn = runs.crossJoin(F.broadcast(n)).where("n > 0").select("iteration", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
+    drawn = drawn.select("iteration", "k", F.floor(bits(F.col("iteration"), F.col("k"), seed).cast("double") * F.col("n") / 2.0**32).cast("long").alias("number"), bits(F.col("iteration"), F.col("k"), seed + 1).alias("_at"))
+    both = drawn.join(t.select(F.col("number").alias("k"), F.col("pnl").alias("_own")), "k").join(t, "number")
+    falls = {}
+    for name, value, order in (("order_dd", "_own", ["_at", "k"]), ("bootstrap_dd", "pnl", ["k"])):
+        w = Window.partitionBy("iteration").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn(f"_e_{name}", start + F.sum(value).over(w)).withColumn(f"_p_{name}", F.greatest(F.lit(start), F.max(f"_e_{name}").over(w)))
+        falls[name] = F.max((F.col(f"_p_{name}") - F.col(f"_e_{name}")) / F.col(f"_p_{name}")).alias(name)
+    out = both.groupBy("iteration").agg(*falls.values(), F.sum("pnl").alias("bootstrap_net"))
+    return runs.join(out, "iteration", "left").select("iteration", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("order_dd", "bootstrap_dd", "bootstrap_net")])
 
 
 def yearly(trades: DataFrame, by: list[str]) -> DataFrame:
@@ -126,7 +154,7 @@ def grid(spark, **values: list) -> DataFrame:
 
 def fifteen_digits(x: pd.Series) -> pd.Series:
     """Rounded to 15 significant digits; what is not finite becomes 0."""
-    return x.map(lambda v: float(f"{v:.15g}") if np.isfinite(v) else 0.0)
+    return x.map(lambda v: float(f"{v:.15g}") if math.isfinite(v) else 0.0)
 
 
 def signal_id(strategy: str, version: int, t: str = "entry_t") -> Column:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from ..functions import clock, indicators as ind
 from ..operators import asof, gates, levels, shapes, signals
 from ..sources import bars as src
+from . import report
 from .more import hourly
-from .queries import ALL, ATR, BARS, CANDLES, DAY, DAYS, ER, H1, HOUR, SQL, W, _EVENTS, _found, _reduced, events, frame, query, rounded
+from .queries import ALL, ATR, BARS, CANDLES, DAY, DAYS, ER, H1, HOUR, PNL, QUERIES, QUOTES, SQL, TR, W, _EVENTS, _found, _quotes, _reduced, _rma, events, frame, priced, query, rounded
 
 PAST = "(partition by symbol order by t_ms rows between unbounded preceding and 1 preceding)"
 UPTO = "(partition by symbol order by t_ms rows between unbounded preceding and current row)"
@@ -332,3 +333,61 @@ def _pairs(side: str, swing: str, other: str, neck: str) -> str:
 
 _family("double_extreme_signals", _swung(3) + "," + _pairs("top", "sh", "l", "list_min").replace("{src}", "w2") + "," + _pairs("low", "sl", "h", "list_max").replace("{src}", "top3") + ", x as (select * from low3)",
         "lowp.d <= 0.3 * atr and k - lowp.k <= 12 and c > lowp.neck and c1 <= lowp.neck", "topp.d <= 0.3 * atr and k - topp.k <= 12 and c < topp.neck and c1 >= topp.neck")
+
+
+_fl = []
+for _n in range(3, 11):
+    _top, _low, _sh, _sl = f"max(h) over {frame(_n, 1)}", f"min(l) over {frame(_n, 1)}", f"max(h) over {frame(12, _n + 1)}", f"min(l) over {frame(12, _n + 1)}"
+    _fl.append(f"{_top} as t{_n}, {_low} as b{_n}, {_sh} as g{_n}, {_sl} as f{_n}, count(c) over {frame(12, _n + 1)} = 12 as w{_n}, lag(c, {_n + 1}) over {ALL} as q{_n}")
+_pole = lambda n: f"w{n} and g{n} - f{n} >= 1.5 * atr"
+_up = lambda n: f"({_pole(n)} and g{n} - b{n} <= 0.34 * (g{n} - f{n}) and q{n} >= g{n} - 0.25 * (g{n} - f{n}) and c > t{n})"
+_down = lambda n: f"({_pole(n)} and t{n} - f{n} <= 0.34 * (g{n} - f{n}) and q{n} <= f{n} + 0.25 * (g{n} - f{n}) and c < b{n})"
+SQL["flag_signals"] = f"""
+with b as ({H1}), {ATR}, x as (select *, {", ".join(_fl)} from a),
+s as (select symbol, t_ms, case {" ".join(f"when {_up(n)} then 'long' when {_down(n)} then 'short'" for n in range(3, 11))} end as side from x)
+select symbol, t_ms, side from s where side is not null"""
+
+SQL["psar"] = f"""
+with recursive b as ({BARS}), n as (select *, row_number() over {ALL} - 1 as i, lag(h) over {ALL} as h1, lag(l) over {ALL} as l1, lag(h, 2) over {ALL} as h2, lag(l, 2) over {ALL} as l2, lag(c) over {ALL} as c1 from b),
+r as (
+  select symbol, t_ms, i, case when c >= c1 then 1 else -1 end as way, case when c >= c1 then l1 else h1 end as sar, case when c >= c1 then h else l end as far, 0.02::double as fac, 0 as flip from n where i = 1
+  union all
+  select symbol, t_ms, i, case when turn then -way else way end, case when turn then far else v end, case when turn then case when way > 0 then l else h end when way > 0 then greatest(far, h) else least(far, l) end,
+    case when turn then 0.02::double when (way > 0 and h > far) or (way < 0 and l < far) then least(0.2::double, fac + 0.02::double) else fac end, turn::int
+  from (select *, case when way > 0 then l < v else h > v end as turn from (select n.symbol, n.t_ms, n.i, n.h, n.l, r.way, r.far, r.fac,
+    case when r.way > 0 then least(r.sar + r.fac * (r.far - r.sar), l1, l2) else greatest(r.sar + r.fac * (r.far - r.sar), h1, h2) end as v from r join n on n.symbol = r.symbol and n.i = r.i + 1) u) w)
+select n.symbol, n.t_ms, round(sar, 6) as sar, cast(way as double) as sar_trend, cast(flip as double) as sar_flip from n left join r using (symbol, i)"""
+
+SQL["supertrend"] = f"""
+with recursive b as ({BARS}), {TR}, pre as (select *, list(tr) over {ALL} as ts, lag(c) over {ALL} as c1, (h + l) / 2 as mid from tr), n as (select *, {_rma("ts", 10)} as a from pre),
+r as (
+  select symbol, i, mid + 3.0 * a as up, mid - 3.0 * a as dn, 1.0::double as way from n where i = 9
+  union all
+  select symbol, i, case when high < up or c1 > up then high else up end, case when low > dn or c1 < dn then low else dn end, case when c > up and way < 0 then 1.0 when c < dn and way > 0 then -1.0 else way end
+  from (select n.symbol, n.i, n.c, n.c1, mid + 3.0 * a as high, mid - 3.0 * a as low, r.up, r.dn, r.way from r join n on n.symbol = r.symbol and n.i = r.i + 1) u)
+select n.symbol, n.t_ms, round(case when way > 0 then dn else up end, 6) as supertrend, way as st_trend from n left join r using (symbol, i)"""
+
+_KNOWN = f"q as (select *, q_ms + 500 + (q_ms // 1000) % 3 * {HOUR} as av from ({QUOTES}))"
+
+
+def _late_quotes(spark, sf_dir):
+    """Quotes that become known half a second, or one or two hours, after their time."""
+    return _quotes(spark, sf_dir).withColumn("available_ms", F.col("t_ms") + 500 + F.floor(F.col("t_ms") / 1000) % 3 * HOUR)
+
+
+_OF_ONE = "(select symbol, av, max((q_ms, mid)) as x from q group by 1, 2)"
+
+
+@query(f"with b as ({BARS}), {_KNOWN} select b.symbol, b.t_ms, case when b.t_ms - x[1] <= {2 * HOUR} then x[1] end as quote_ms, case when b.t_ms - x[1] <= {2 * HOUR} then round(x[2], 6) end as mid from b asof left join {_OF_ONE} k on b.symbol = k.symbol and b.t_ms > k.av")
+def quotes_known_before(spark, sf_dir):
+    return rounded(asof.known_before(events(spark, sf_dir).select("symbol", "t_ms"), _late_quotes(spark, sf_dir), 2 * HOUR), "symbol", "t_ms", "quote_ms", "mid")
+
+
+@query(f"""
+with recursive {PNL.replace("b as", "b as", 1)}, t as (select pnl, row_number() over (order by entry_t, symbol, entry_i) - 1 as number from pn where label = 'realistic'), n as (select count(*) as n from t),
+d as (select i, k, cast(floor(cast('0x' || substr(md5('7|' || i || '|' || k), 1, 8) as bigint) * n / 4294967296.0) as bigint) as number from n, range(2000) r(i), range(n) s(k)),
+z as (select i, sum(pnl) as net from d join t using (number) group by 1), o as (select net, row_number() over (order by net) - 1 as r, count(*) over () as m from z)
+select 'realistic' as run, round(max(case when r = floor(0.05 * (m - 1) + 0.5) then net end), 6) as q_5, round(max(case when r = floor(0.5 * (m - 1) + 0.5) then net end), 6) as q_50, round(max(case when r = floor(0.95 * (m - 1) + 0.5) then net end), 6) as q_95 from o""")
+def monte_carlo(spark, sf_dir):
+    rows = report.resample_trades(priced(spark, sf_dir).where("label = 'realistic'"), 2000, 7)
+    return rounded(report.ranked(rows.withColumn("run", F.lit("realistic")), ["run"], "bootstrap_net", [0.05, 0.5, 0.95]), "run", "q_5", "q_50", "q_95")

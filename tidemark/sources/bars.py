@@ -74,15 +74,26 @@ def read_fixtures(spark: SparkSession, path: str) -> DataFrame:
     return row.select("symbol", "tf", F.col("b")[0].cast("long").alias("t_ms"), *[F.col("b")[k + 1].alias(n) for k, n in enumerate("ohlcv")])
 
 
+def quote_defects(spark: SparkSession, path: str) -> DataFrame:
+    """How many rows read_quotes takes and drops: n_rows, n_unparsed (a value that is no number), n_crossed (no bid, or ask under bid)."""
+    text = spark.read.schema("eventMS string, bid string, ask string").csv(path, header=True)
+    t, bid, ask = F.col("eventMS").try_cast("bigint"), F.col("bid").try_cast("double"), F.col("ask").try_cast("double")
+    bad = t.isNull() | bid.isNull() | ask.isNull()
+    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0))
+    return text.agg(F.count("*").alias("n_rows"), count(bad).alias("n_unparsed"), count(~bad & ((bid <= 0) | (ask < bid))).alias("n_crossed"))
+
+
 def read_quotes(spark: SparkSession, path: str) -> DataFrame:
-    """Quotes of CSV files with header eventMS,bid,ask: t_ms, bid, ask, mid; rows that don't parse, or cross, are dropped."""
+    """Quotes of CSV files with header eventMS,bid,ask: t_ms, bid, ask, mid; rows that don't parse, or cross, are dropped; quote_defects counts them."""
     rows = spark.read.schema("eventMS bigint, bid double, ask double").csv(path, header=True, mode="DROPMALFORMED")
     return rows.where("eventMS is not null and bid > 0 and ask >= bid").select(F.col("eventMS").alias("t_ms"), "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"))
 
 
 def read_pinned(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    """Files of a folder with their content, only if their SHA-256 is the pinned one."""
-    return spark.read.format("binaryFile").load(path).where(F.sha2("content", 256) == sha256.lower())
+    """Files of a folder with their content; a file whose SHA-256 is not the pinned one is an error when it is read."""
+    files = spark.read.format("binaryFile").load(path)
+    wrong = F.raise_error(F.concat(F.lit("SHA-256 differs from the pinned one: "), F.col("path")))
+    return files.withColumn("content", F.when(F.sha2("content", 256) == sha256.lower(), F.col("content")).otherwise(wrong.cast("binary")))
 
 
 #: Fixed values of the binary bar format: magic, version, bytes of the header; columns are little-endian doubles.

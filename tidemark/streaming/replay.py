@@ -1,8 +1,8 @@
 """Streams of ticks and bars: tumbling bars under a watermark, and rules whose state lives in Spark's state store.
 
 The rules' step functions are the batch definitions, one bar at a time; a replayed stream gives the batch result, except
-that what is still open stays open. A bar that comes out of order, or twice, is an error: it is returned as such, and
-never reordered or dropped.
+that what is still open stays open. The rows of one micro-batch have no order of their own and are put in order of time; a bar
+that is not later than the last one of an earlier micro-batch, or comes twice, is returned as an error and changes nothing.
 """
 
 from collections.abc import Iterator
