@@ -83,6 +83,25 @@ def test_known_quotes(spark):
             assert after[t] == (same[0] if later - same[0] <= 250 else None)
 
 
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_of_a_hot_key(spark, monkeypatch, forward, strict):
+    """One symbol holds most rows, a null one some; blocks of time, with holes between them, change nothing."""
+    monkeypatch.setattr(asof, "BLOCK", 50)
+    r = random.Random(9)
+    key = lambda: "hot" if r.random() < 0.9 else r.choice(["cold", None])
+    right = [(key(), t, r.randint(0, 99)) for t in r.choices([*range(100, 400), *range(900, 1000)], k=150)]
+    left = [(key(), t, k) for k, t in enumerate(r.choices(range(1200), k=300))]
+    df = asof.asof(spark.createDataFrame(left, "symbol string, t_ms long, k int"), spark.createDataFrame(right, "symbol string, at long, v int"), ["symbol"], "t_ms", "at", ["at", "v"], strict=strict, forward=forward, max_age=400)
+    got = {x.k: (x.at, x.v) for x in df.collect()}
+    for s, t, k in left:
+        fits = [(a, v) for q, a, v in right if q == s and ((a > t if strict else a >= t) if forward else (a < t if strict else a <= t))]
+        near = (min(a for a, _ in fits) if forward else max(a for a, _ in fits)) if fits else None
+        want = (near, max(v for a, v in fits if a == near)) if fits and abs(near - t) <= 400 else (None, None)
+        assert got[k] == want
+    assert len(got) == 300
+
+
 def test_equity_by_blocks(spark, monkeypatch):
     """One label holds nearly all trades; blocks change nothing, a null label included."""
     r = random.Random(2)

@@ -1,23 +1,39 @@
 """As-of joins. Spark has none, so both sides are stacked by time and the last known row is carried along."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import clock
+
+#: Milliseconds of a block in which rows of one key are put in order.
+BLOCK = 7 * clock.DAY
+
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, columns: list[str], prefix: str = "", strict: bool = False, max_age: int | None = None, forward: bool = False) -> DataFrame:
     """left with columns of the latest right row at or before left_time (forward: the first at or after).
 
-    One shuffle by `on`, one sort, no range join: work is linear however many rows match. With strict an equal time
-    does not count. Rows older than max_age are not taken. Among right rows of one time the greatest columns win.
+    Both sides are put in order inside blocks of time (BLOCK), so that one hot key's rows are spread over tasks; each
+    block's last right row is carried to later blocks, a row for each block. No range join: work is linear however many
+    rows match. With strict an equal time does not count. Rows older than max_age are not taken. Among right rows of one
+    time the greatest columns win.
     """
     got = F.struct(F.col(right_time).alias("_at"), *[F.col(c) for c in columns])
     r = right.select(*on, F.col(right_time).alias("_t"), got.alias("_right"), F.lit(None).cast(left.schema.simpleString()).alias("_left"))
     l_ = left.select(*on, F.col(left_time).alias("_t"), F.lit(None).cast(r.schema["_right"].dataType).alias("_right"), F.struct(*left.columns).alias("_left"))
     first_right = not strict if not forward else strict
     side = F.when(F.col("_left").isNull(), 0 if first_right else 2).otherwise(1)
-    both = l_.unionByName(r).withColumn("_side", side)
-    ways = [F.asc, F.asc] if not forward else [F.desc, F.desc]
-    w = Window.partitionBy(*on).orderBy(ways[0]("_t"), ways[1]("_side"), F.col("_right").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("_got", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    both = l_.unionByName(r).withColumn("_side", side).withColumn("_block", F.floor(F.col("_t") / BLOCK))
+    way, sign = (F.desc, -1) if forward else (F.asc, 1)
+    w = Window.partitionBy(*on, "_block").orderBy(way("_t"), way("_side"), F.col("_right").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = both.withColumn("_got", F.last("_right", ignorenulls=True).over(w)).where("_left is not null")
+    last = F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct(F.col("_t") * sign, F.col("_right"))))
+    before = Window.partitionBy(*on).orderBy(way("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(*on, "_block").agg(last.alias("_end")).withColumn("_carried", F.last("_end", ignorenulls=True).over(before))
+    keys = (*on, "_block")
+    ends = ends.where("_carried is not null").select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_carried")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in keys])
+    out = rows.join(ends, same, "left").withColumn("_got", F.coalesce("_got", "_carried"))
     fresh = F.lit(True) if max_age is None else F.abs(F.col("_t") - F.col("_got._at")) <= max_age
     return out.select("_left.*", *[F.when(fresh, F.col(f"_got.{c}")).alias(f"{prefix}{c}") for c in columns])
 
