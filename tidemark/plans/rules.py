@@ -7,7 +7,7 @@ from ..operators import asof, gates, levels, shapes, signals
 from ..sources import bars as src
 from . import report
 from .more import hourly
-from .queries import ALL, ATR, BARS, CANDLES, DAY, DAYS, ER, H1, HOUR, PNL, QUERIES, QUOTES, SQL, TR, W, _EVENTS, _found, _quotes, _reduced, _rma, events, frame, priced, query, rounded
+from .queries import ALL, ATR, BARS, CANDLES, DAY, DAYS, ER, H1, HOUR, PNL, QUOTES, SQL, TR, W, _EVENTS, _found, _quotes, _reduced, _rma, _wma, events, frame, priced, query, rounded
 
 PAST = "(partition by symbol order by t_ms rows between unbounded preceding and 1 preceding)"
 UPTO = "(partition by symbol order by t_ms rows between unbounded preceding and current row)"
@@ -391,3 +391,37 @@ select 'realistic' as run, round(max(case when r = floor(0.05 * (m - 1) + 0.5) t
 def monte_carlo(spark, sf_dir):
     rows = report.resample_trades(priced(spark, sf_dir).where("label = 'realistic'"), 2000, 7)
     return rounded(report.ranked(rows.withColumn("run", F.lit("realistic")), ["run"], "bootstrap_net", [0.05, 0.5, 0.95]), "run", "q_5", "q_50", "q_95")
+
+
+SQL["adx"] = f"""
+with b as ({BARS}), d as (select *, h - lag(h) over {ALL} as up, lag(l) over {ALL} - l as dn from b),
+e as (select symbol, t_ms, case when up > dn and up > 0 then up else 0.0 end as plus, case when dn > up and dn > 0 then dn else 0.0 end as minus from d where up is not null),
+f as (select symbol, t_ms, list(plus) over {ALL} as ps, list(minus) over {ALL} as ms from e), g as (select symbol, t_ms, {_rma("ps", 14)} as p, {_rma("ms", 14)} as m from f),
+x as (select symbol, t_ms, case when p + m > 0 then 100 * abs(p - m) / (p + m) else 0.0 end as dx from g where p is not null),
+y as (select symbol, t_ms, dx, list(dx) over {ALL} as xs from x)
+select b.symbol, b.t_ms, round(dx, 6) as dx, round({_rma("xs", 14)}, 6) as adx from b left join y using (symbol, t_ms)"""
+
+SQL["seed_variants"] = f"""
+with b as ({BARS}), {ATR}, x as (select *, list(tr) over {ALL} as ts, list(c) over {ALL} as cs, count(*) over {frame(14)} as n from a)
+select symbol, t_ms, round({_rma("ts", 14)}, 6) as wilder_atr, round(case when n = 14 then atr end, 6) as atr_full, round(case when i >= 30 then {_reduced("cs", "a + (2.0 / 11) * (x - a)")} end, 6) as ema_late from x"""
+
+_RAILS = f"""k as (select *, row_number() over {ALL} - 1 as j from b),
+m as (select *, regr_slope(c, j) over {frame(60)} as slope, regr_intercept(c, j) over {frame(60)} as mid, list({{'x': j, 'h': h, 'l': l}}) over {frame(60)} as pts from k),
+rl as (select *, case when len(pts) = 60 then mid + slope * j + list_max(list_transform(pts, lambda p: p.h - (mid + slope * p.x))) end as rail_high,
+  case when len(pts) = 60 then mid + slope * j + list_min(list_transform(pts, lambda p: p.l - (mid + slope * p.x))) end as rail_low from m)"""
+SQL["channel_rails"] = f"with b as ({BARS}), {_RAILS} select symbol, t_ms, round(rail_high, 6) as rail_high, round(rail_low, 6) as rail_low from rl"
+_family("channel_hold_signals", f"""{_RAILS}, v as (select *, coalesce(c > lag(rail_high) over {ALL}, false) as u, coalesce(c < lag(rail_low) over {ALL}, false) as d from rl),
+x as (select *, coalesce(lag(u) over {ALL}, false) as u1, coalesce(lag(d) over {ALL}, false) as d1 from v)""", "u and not u1", "d and not d1", atr=False)
+
+SQL["regime_cross_signals"] = f"""
+with recursive b as ({H1}), {TR}, pre as (select *, list(tr) over {ALL} as ts, lag(c) over {ALL} as c1, (h + l) / 2 as mid, 2 * {_wma("c", 4)} - {_wma("c", 9)} as raw,
+  case when count(*) over {frame(20, 1)} = 20 and avg(v) over {frame(20, 1)} > 0 then v / avg(v) over {frame(20, 1)} end as vr from tr),
+n as (select *, {_rma("ts", 10)} as a, {_wma("raw", 3)} as hm from pre),
+r as (
+  select symbol, i, mid + 3.0 * a as up, mid - 3.0 * a as dn, 1.0::double as way from n where i = 9
+  union all
+  select symbol, i, case when high < up or c1 > up then high else up end, case when low > dn or c1 < dn then low else dn end, case when c > up and way < 0 then 1.0 when c < dn and way > 0 then -1.0 else way end
+  from (select n.symbol, n.i, n.c, n.c1, mid + 3.0 * a as high, mid - 3.0 * a as low, r.up, r.dn, r.way from r join n on n.symbol = r.symbol and n.i = r.i + 1) u),
+x as (select n.symbol, n.t_ms, vr, way, c - hm as d, lag(c - hm) over (partition by n.symbol order by n.t_ms) as p from n left join r using (symbol, i)),
+s as (select symbol, t_ms, case when vr > 1 and d > 0 and p <= 0 and way > 0 then 'long' when vr > 1 and d < 0 and p >= 0 and way < 0 then 'short' end as side from x)
+select symbol, t_ms, side from s where side is not null"""
