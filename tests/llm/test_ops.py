@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import _ngrams, chat_format, decontaminate, gif, jaccard_join, language_id, packing, pii, quality_knn, substring_dedup, url_filter
+from tidemark.llm import _ngrams, _spark, chat_format, decontaminate, gif, jaccard_join, language_id, packing, pii, quality_knn, substring_dedup, url_filter
 
 WORDS = [a + b for a in ("al", "be", "ci", "do", "en", "fu", "Ga") for b in ("n", "m", "st", "lé", "x", "")]
 
@@ -455,13 +455,13 @@ def test_chat(spark):
     chats[100] = [(0, "system", "s"), (1, "user", "u"), (2, "assistant", "a")]
     df = spark.createDataFrame([(c, *t) for c, ts in chats.items() for t in ts], "conv_id long, turn long, role string, text string")
     made = chat_format.format_chats(df)
-    rows = made.select("*", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_spans(F.col("segments")).alias("spans")).collect()
+    rows = made.select("*", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_spans(F.col("segments")).alias("spans"), chat_format.learned(F.col("segments")).alias("learned")).collect()
     assert len(rows) == len(chats)
     for x in rows:
         want = [(ro or "", te or "") for _, ro, te in chats[x.conv_id]]
         assert [(t.role, t.text) for t in x.turns] == want
         said = "".join(re.sub(r"\\(.)", r"\1", x.formatted[s.start : s.start + s.size], flags=re.S) for s in x.spans)
-        assert said == "".join(te for ro, te in want if ro == "assistant")
+        assert said == x.learned == "".join(te for ro, te in want if ro == "assistant")
     assert next(x.valid for x in rows if x.conv_id == 100)
     assert chat_format.format_chats(df.limit(0)).count() == 0
 
@@ -501,3 +501,14 @@ def test_reputation_blocks_bad_hosts_only(spark):
     pages = spark.createDataFrame([(k, f"http://{'bad' if k < 20 else 'good'}{k}.example.net/x") for k in range(200)], "page_id long, url string")
     got = url_filter.judge(pages, spark.createDataFrame(outcomes, "host string, bad int"), []).collect()
     assert {x.page_id for x in got if x.verdict == "block"} == set(range(20))
+
+
+def test_small_counts_bytes(spark):
+    def hinted(df):
+        return "Hint" in df._jdf.queryExecution().logical().toString()
+
+    rows = spark.range(100).select("id", F.repeat(F.lit("x"), 100).alias("s"), F.array_repeat(F.col("id"), 50).alias("l"))
+    assert hinted(_spark.small(rows)) and hinted(_spark.small(rows.limit(0)))
+    assert not hinted(_spark.small(rows, limit=99))
+    assert not hinted(_spark.small(rows.select("id", "s"), most_bytes=10_000))
+    assert not hinted(_spark.small(rows.select("id", "l"), most_bytes=80_000))

@@ -3,11 +3,12 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-#: More ids than this are joined by a shuffle instead of a broadcast (8 bytes each).
+#: Tables of more rows or more bytes than this are joined by a shuffle instead of a broadcast.
 BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,9 +52,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(ids: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
-    """ids with a broadcast hint if it has at most limit rows; else as it is, for a shuffled join. ids should be cut."""
-    return F.broadcast(ids) if ids.limit(limit + 1).count() <= limit else ids
+def _width(field: StructField) -> Column:
+    """Bytes of a value, at about: strings and binaries by their length, arrays by 16 for each element, all else 16."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(kind, ArrayType):
+        size = F.cardinality(c) * 16
+    else:
+        return F.lit(16)
+    return F.coalesce(size, F.lit(0)) + 16
+
+
+def small(df: DataFrame, limit: int = BROADCAST_IDS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows and most_bytes bytes; else as it is, for a shuffled join.
+
+    df should be cut: it is counted first.
+    """
+    width = sum((_width(f).cast("long") for f in df.schema.fields), F.lit(0))
+    rows, size = df.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if rows <= limit and size <= most_bytes else df
 
 
 def components(edges: DataFrame) -> DataFrame:

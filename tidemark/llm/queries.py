@@ -81,10 +81,9 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     turns = turns.unionByName(spark.sql(f"select -1L as conv_id, 0L as turn, 'user' as role, '{tricky}' as text union all select -1L, 1L, 'assistant', '{tricky}'"))
-    chats = chat_format.format_chats(turns).select("conv_id", "valid", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_spans(F.col("segments")).alias("spans"))
+    chats = chat_format.format_chats(turns).select("conv_id", "valid", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.learned(F.col("segments")).alias("learned"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    learned = F.array_join(F.transform("spans", lambda s: chat_format.unescaped(F.substring("formatted", s["start"] + 1, s["size"]), chat_format.Template())), "")
-    chats = chats.select("conv_id", "valid", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), learned.alias("learned"))
+    chats = chats.select("conv_id", "valid", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), "learned")
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     size = lambda c: F.length(c).cast("long")
     return chats.select("conv_id", "n_turns", digest("said").alias("turns_sha256"), size("learned").alias("loss_chars"), digest("learned").alias("loss_sha256"), size("formatted").alias("formatted_chars"), "valid")
