@@ -512,3 +512,15 @@ def test_small_counts_bytes(spark):
     assert not hinted(_spark.small(rows, limit=99))
     assert not hinted(_spark.small(rows.select("id", "s"), most_bytes=10_000))
     assert not hinted(_spark.small(rows.select("id", "l"), most_bytes=80_000))
+
+
+def test_jaccard_hot_class(spark):
+    """A third of all rows are copies of one text, a third are empty; the others are unlike each other but for one near copy."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, text) for i in range(100)] + [(100 + i, None if i % 2 else " ") for i in range(100)]
+    rows += [(200 + i, " ".join(f"x{i}_{j}" for j in range(20))) for i in range(99)] + [(299, text + " more")]
+    got = {x.doc_id: x for x in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 300
+    assert all(got[i].component_id == 0 and got[i].n_links == 100 and got[i].n_shingles == 56 for i in range(100))
+    assert got[299].component_id == 0 and got[299].n_links == 100
+    assert all(got[i].component_id == i and got[i].n_links == 0 for i in range(100, 299))
