@@ -74,6 +74,19 @@ def small(df: DataFrame, limit: int = BROADCAST_IDS, most_bytes: int = BROADCAST
     return F.broadcast(df) if rows <= limit and size <= most_bytes else df
 
 
+def join_split(rows: DataFrame, facts: DataFrame, key: str, size: str) -> DataFrame:
+    """rows left joined with facts (one row for each key, cut; size: how many of the rows have the key).
+
+    A key that alone fills a task has the rows' number / partitions or more; of these there can be no more than there are
+    partitions, so they are broadcast, and only the other keys' rows meet by a shuffle.
+    """
+    total = facts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    full = F.col(size) * partitions(rows.sparkSession) >= total
+    hot = F.broadcast(facts.where(full))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(~full), key, "left")
+    return rows.join(hot, key).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the least node that is reached.
 

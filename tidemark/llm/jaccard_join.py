@@ -371,7 +371,7 @@ def grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100))
     group_id, a name of the component of its own, also where rows of several components have one doc_id (null: no shingles)."""
     spark = docs.sparkSession
     sets = _spark.cut(shingle_sets(docs, k), "sets")
-    total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = _spark.partitions(spark)
     fragments = max(parts, math.ceil(total / 2 / FRAGMENT))
     own = sets.where("n > 0").groupBy("node").agg(F.min("twin").alias("twin"), F.max("twin").alias("other"), F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.count("*").alias("copies"))
@@ -402,30 +402,19 @@ def grouped(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (75, 100))
     _spark.done(prefix, held)
 
     joined = _spark.components(pairs.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    joined = joined.join(classes.select("node", "least"), "node")
-    least = joined.groupBy("root").agg(F.min("least").alias("least"))
-    found = joined.select("node", "root").join(least, "root").select("node", "root", F.col("least").alias("component"))
+    joined = _spark.cut(joined.join(classes.select("node", "least"), "node"), "joined")
+    least = _spark.cut(joined.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("members")), "least")
+    found = _spark.join_split(joined.select("node", "root"), least, "root", "members").drop("members")
     degree = pairs.groupBy("node").agg(F.sum("links").alias("links"))
     many = classes.join(found, "node", "left").join(degree, "node", "left").where("copies > 1 or component is not null")
     many = many.select("node", "root", F.coalesce("component", "least").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "copies")
-    out = _with_classes(sets, _spark.cut(many, "many"), rows)
+    out = _spark.join_split(sets.where("n > 0"), _spark.cut(many, "many"), "node", "copies")
+    out = out.unionByName(sets.where("n = 0"), allowMissingColumns=True)
     links = F.coalesce("links", F.lit(0).cast("long")).alias("n_links")
     group = F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("group_id")
     return out.select("doc_id", "rid", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), links, group)
 
 
-def _with_classes(sets: DataFrame, many: DataFrame, rows: int) -> DataFrame:
-    """sets with what many tells of their classes, if anything.
-
-    A class that alone fills a task has rows / partitions copies or more; of these there can be no more than there are
-    partitions, so they are broadcast, and only the others' rows meet by a shuffle. Empty sets meet nothing.
-    """
-    full = F.col("copies") * _spark.partitions(sets.sparkSession) >= rows
-    hot, some = F.broadcast(many.where(full)), sets.where("n > 0")
-    most = some.join(hot.select("node"), "node", "left_anti").join(many.where(~full), "node", "left")
-    return some.join(hot, "node").unionByName(most).unionByName(sets.where("n = 0"), allowMissingColumns=True)
-
-
 def clashes(sets: DataFrame, classes: DataFrame) -> dict[tuple[int, int], int]:
     """(node, twin) of different sets that have one node, and a name for each: by the birthday bound a few at 10^11 texts."""
     both = classes.where("twin <> other").select("node")
