@@ -29,8 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
     found = _spark.cut(jaccard_join.grouped(keyed).where("n_links > 0").select("doc_id", "rid", "group_id"), "groups")
-    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
-    marked = found.join(_spark.small(_spark.cut(first, "first")), "group_id")
+    first = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"), F.count("*").alias("size"))
+    marked = _spark.join_split(found, _spark.cut(first, "first"), "group_id", "size")
     stays = (F.col("rid") == F.col("first.rid")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     marked = _spark.cut(marked.groupBy("doc_id", "rid").agg(F.first(stays).alias("stays"), F.count("*").alias("rows")), "marked")
     kept = _in(_keyed(docs), marked.where("not stays").select("doc_id", "rid"), "left_anti")
