@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clock, indicators as ind
 from tidemark.operators import asof, levels, shapes, signals, trades
-from tidemark.plans import report
+from tidemark.plans import account, report
 from tidemark.sources import bars as src
 
 HOUR = src.HOUR
@@ -242,6 +242,21 @@ def test_reports(spark):
     assert report.grid(spark, a=[1, 2], b=["x", "y", "z"]).count() == 6
 
 
+def test_marks_of_trades_within_a_bar(spark):
+    """A trade is open while entry_i <= i < exit_i: not at all if it leaves on the bar of its entry."""
+    c = [10.0, 12.0, 11.0, 15.0, 13.0, 16.0, 14.0, 18.0]
+    t = [(1, 11.0, 1, "long", 0.5), (2, 12.0, 4, "short", -2.0), (4, 14.0, 4, "long", -1.0), (4, 13.5, 6, "long", 1.0), (7, 14.0, 7, "short", -4.0)]
+    b = spark.createDataFrame([("S", i, i * HOUR, x) for i, x in enumerate(c)], "symbol string, i long, t_ms long, c double")
+    got = account.marked(b, spark.createDataFrame([("S", *x) for x in t], "symbol string, entry_i long, entry double, exit_i long, side string, pnl double").withColumn("exit", F.lit(0.0)), 100.0)
+    peak = 100.0
+    for r in got.orderBy("i").collect():
+        realized = sum(x[4] for x in t if x[2] <= r.i)
+        profit = sum((1 if x[3] == "long" else -1) * (c[r.i] - x[1]) for x in t if x[0] <= r.i < x[2])
+        peak = max(peak, 100 + realized + profit)
+        assert (r.realized, r.open_profit, r.equity) == (realized, profit, 100 + realized + profit) and abs(r.drawdown - (peak - r.equity) / peak) < 1e-12, r.i
+    assert got.count() == len(c)
+
+
 def test_streams_replay_batch(spark, bars, tmp_path):
     from tidemark.streaming import replay
 

@@ -36,6 +36,20 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_marks_of_an_entry_on_the_last_bar(spark, tmp_path):
+    """The rule first holds on the bar before the last: in at the last open, out at the last close."""
+    c = duckdb.connect()
+    values = [10, 9, 8, 7, 6, 9, 12]
+    c.execute("create table events (event_id bigint, ts timestamp, event_type varchar, value double)")
+    for i, x in enumerate(values):
+        c.execute("insert into events select 2 * $1 + k, timestamp '2024-01-01' + to_hours(cast(4 * $1 + k as integer)), 'view', $2 + k from range(2) r(k)", [i, float(x)])
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    held = q.QUERIES["sma_regime_hold_trades"](spark, str(tmp_path)).collect()
+    assert [(r.entry_i, r.exit_i, r.reason) for r in held] == [(6, 6, "end-of-test")]
+    got, want = q.QUERIES["account_marks"](spark, str(tmp_path)).toPandas(), c.execute(q.SQL["account_marks"]).df()
+    assert rows(got) == rows(want) and len(got) == 7
+
+
 def test_entry():
     import __spark_entry__ as e
 

@@ -13,7 +13,8 @@ def marked(bars: DataFrame, trades: DataFrame, start: float = 10_000.0) -> DataF
     """
     way = F.when(F.col("side") == "long", 1.0).otherwise(-1.0)
     none = F.lit(None).cast("double")
-    ins = trades.select("symbol", F.col("entry_i").cast("long").alias("i"), F.lit(0).alias("_k"), F.col("entry").alias("_e"), way.alias("_w"), F.lit(0.0).alias("_p"), none.alias("c"), F.lit(None).cast("long").alias("t_ms"))
+    # A trade that leaves on the bar of its entry is open at no mark; only its exit counts.
+    ins = trades.where("entry_i < exit_i").select("symbol", F.col("entry_i").cast("long").alias("i"), F.lit(0).alias("_k"), F.col("entry").alias("_e"), way.alias("_w"), F.lit(0.0).alias("_p"), none.alias("c"), F.lit(None).cast("long").alias("t_ms"))
     outs = trades.select("symbol", F.col("exit_i").cast("long").alias("i"), F.lit(1).alias("_k"), none.alias("_e"), F.lit(0.0).alias("_w"), F.col("pnl").alias("_p"), none.alias("c"), F.lit(None).cast("long").alias("t_ms"))
     rows = bars.select("symbol", F.col("i").cast("long").alias("i"), F.lit(2).alias("_k"), none.alias("_e"), F.lit(None).cast("double").alias("_w"), F.lit(0.0).alias("_p"), "c", "t_ms")
     # An exit at a bar comes before an entry there.
